@@ -44,7 +44,8 @@ def _table() -> dict[int, str]:
     out = {ord(k): v for k, v in _LOOKALIKES.items()}
     for lo, hi in ((0xFF01, 0xFF5F), (0x1D400, 0x1D800), (0x2460, 0x24EB), (0x2070, 0x209D), (0x1F100, 0x1F190), (0x2100, 0x214F), (0xFE50, 0xFE6F)):
         for c in range(lo, hi):
-            plain = unicodedata.normalize("NFKC", chr(c)).strip("().")
+            plain = unicodedata.normalize("NFKC", chr(c))
+            plain = plain.strip("().") if len(plain) > 1 else plain
             if len(plain) == 1 and ord(plain) < 128:
                 out.setdefault(c, plain)
     for c in (0x00A0, 0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200A, 0x202F, 0x205F, 0x3000):
@@ -83,20 +84,21 @@ _OPEN, _CLOSE = r"[(\[{<|*]", r"[)\]}>|*]"
 _AT_ANY = rf"\s*(?:@|{_OPEN}\s*(?:{_AT}|@)\s*{_CLOSE})\s*|\s+{_AT}\s+"
 _DOT_ANY = rf"\.|\s*{_OPEN}\s*(?:{_DOT}|\.)\s*{_CLOSE}\s*|\s+{_DOT}\s+"
 _LABEL = r"[^\W_](?:[\w\-]{0,61}[^\W_])?"
-_DISGUISED = re.compile(
-    rf"(?P<local>[\w.+%\-]*\w(?:(?:\s+{_DOT}\s+|\s*{_OPEN}\s*(?:{_DOT}|\.)\s*{_CLOSE}\s*)[\w+%\-]+)*)"
-    rf"(?P<at>{_AT_ANY})(?P<host>{_LABEL}(?:(?:{_DOT_ANY}){_LABEL})+)",
-    re.I,
-)
+#: An at sign or its disguise with a host behind it; what stands before is looked at only then.
+_HOST = re.compile(rf"(?P<at>{_AT_ANY})(?P<host>{_LABEL}(?:(?:{_DOT_ANY}){_LABEL})+)", re.I)
+_LOCAL = re.compile(rf"[^\W_](?:[\w.+%\-]*\w)?(?:(?:\s+{_DOT}\s+|\s*{_OPEN}\s*(?:{_DOT}|\.)\s*{_CLOSE}\s*)[\w+%\-]+)*\Z", re.I)
+_LOCAL_MOST = 160
 _DOT_FIND = re.compile(_DOT_ANY, re.I)
 _PLAIN_AT = re.compile(rf"\s+{_AT}\s+", re.I)
 
-#: RE2 pre-filter, run by Arrow over whole columns: a text that it misses has nothing to find.
-PREFILTER = (
-    r"[@0-9]|[\x{0370}-\x{052F}\x{0660}-\x{0669}\x{06F0}-\x{06F9}\x{0966}-\x{096F}\x{2070}-\x{214F}\x{2460}-\x{24EB}\x{FE50}-\x{FE6F}\x{FF01}-\x{FF5E}\x{1D400}-\x{1D7FF}\x{1F100}-\x{1F18F}]"
-    rf"|(?i:(?:^|[^a-z]){_AT}[^a-z])(?s:.){{1,200}}?(?i:(?:\s|{_OPEN}){_DOT}(?:\s|{_CLOSE}))"
-    rf"|(?i:(?:{_SPOKEN})(?:[ \t.,\-_/()]+(?:{_SPOKEN})){{3,}})"
+# RE2 pre-filters, run by Arrow over whole columns: a text that they all miss has nothing to find
+HAS_SIGN = r"[@0-9]"
+HAS_GLYPH = (
+    r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}\x{0131}\x{0261}"
+    r"\x{0370}-\x{052F}\x{0660}-\x{0669}\x{06F0}-\x{06F9}\x{0966}-\x{096F}\x{2070}-\x{214F}\x{2460}-\x{24EB}\x{FE50}-\x{FE6F}\x{FF01}-\x{FF5E}\x{1D400}-\x{1D7FF}\x{1F100}-\x{1F18F}]"
 )
+HAS_DISGUISE = rf"(?i:(?:\s|{_OPEN}\s*){_DOT}(?:\s|\s*{_CLOSE})|{_OPEN}\s*(?:\.|@|{_AT})\s*{_CLOSE})"
+HAS_SPELLED = rf"(?i:(?:{_SPOKEN})(?:[ \t.,\-_/()]+(?:{_SPOKEN})){{3}})"
 
 
 class Mapped:
@@ -172,15 +174,15 @@ def _spell(m: re.Match) -> list[tuple[int, int, str]]:
             times = 1
         gap = m.group(0)[before : t.start()] if before is not None else ""
         if before is not None and gap and not re.search(r"[.\-()/]", gap):
-            spans.append((m.start() + before, m.start() + t.start(), ""))
+            # a comma tells groups of digits apart
+            spans.append((m.start() + before, m.start() + t.start(), "-" if "," in gap else ""))
         if new != t.group(0):
             spans.append((m.start() + t.start(), m.start() + t.end(), new))
         before = t.end()
     return spans
 
 
-def _address(m: re.Match) -> list[tuple[int, int, str]]:
-    plain_at = _PLAIN_AT.fullmatch(m.group("at"))
+def _address(text: str, m: re.Match) -> list[tuple[int, int, str]]:
     host, labels, dots, spelled, last = m.group("host"), [], [], False, 0
     for d in _DOT_FIND.finditer(host):
         labels.append(host[last : d.start()])
@@ -188,26 +190,40 @@ def _address(m: re.Match) -> list[tuple[int, int, str]]:
         spelled |= d.group(0) != "."
         last = d.end()
     labels.append(host[last:])
-    if plain_at and not spelled:
+    if _PLAIN_AT.fullmatch(m.group("at")) and not spelled:
         return []  # "look at example.com" is no address
     if not re.fullmatch(r"[^\W\d_]{2,24}", labels[-1]):
         return []
-    at = m.start("at"), m.end("at")
-    local = m.group("local")
-    spans = [(m.start("local") + d.start(), m.start("local") + d.end(), ".") for d in _DOT_FIND.finditer(local) if d.group(0) != "."]
+    low = max(0, m.start("at") - _LOCAL_MOST)
+    local = next((x for x in _LOCAL.finditer(text[low : m.start("at")])), None)
+    if local is None:
+        return []
+    spans = [(low + local.start() + d.start(), low + local.start() + d.end(), ".") for d in _DOT_FIND.finditer(local.group(0)) if d.group(0) != "."]
     if m.group("at") != "@":
-        spans.append((*at, "@"))
+        spans.append((*m.span("at"), "@"))
     return spans + [(m.start("host") + d.start(), m.start("host") + d.end(), ".") for d in dots if d.group(0) != "."]
 
 
-def normalise(text: str) -> Mapped:
-    """The text with all disguises undone."""
+def _addresses(text: str) -> list[tuple[int, int, str]]:
+    """Rewrites of all disguised addresses, disjoint and ascending."""
+    out, end = [], 0
+    for m in _HOST.finditer(text):
+        for s in _address(text, m):
+            if s[0] >= end:
+                out.append(s)
+                end = s[1]
+    return out
+
+
+def normalise(text: str, spelled: bool = True, disguised: bool = True) -> Mapped:
+    """The text with its disguises undone; those that it is known not to have needn't be looked for."""
     plain = text.translate(GLYPHS) if not text.isascii() else text
     out = Mapped(plain)  # the table maps one character to one
     if not text.isascii():
         out = out.rewrite([(m.start(), m.end(), "") for m in _HIDDEN.finditer(plain)])
-    out = out.rewrite([s for m in _RUN.finditer(out.text) if len(m.group(0)) > 9 for s in _spell(m)])
-    return out.rewrite([s for m in _DISGUISED.finditer(out.text) for s in _address(m)])
+    if spelled:
+        out = out.rewrite([s for m in _RUN.finditer(out.text) if len(m.group(0)) > 9 for s in _spell(m)])
+    return out.rewrite(_addresses(out.text)) if disguised else out
 
 
 # ---- detectors -------------------------------------------------------------------
@@ -268,22 +284,27 @@ DETECTORS = [
 ]
 
 
-def find(text: str) -> list[tuple[str, int, int, str]]:
+def find(text: str, spelled: bool = True, disguised: bool = True) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, value): source offsets in characters, normalised value.
 
     Where findings overlap the one of the earlier detector stays.
     """
-    norm = normalise(text)
-    taken: list[tuple[int, int]] = []
+    norm = normalise(text, spelled, disguised)
+    taken: list[tuple[int, int]] = []  # ascending and disjoint
     out = []
     for kind, pattern, check in DETECTORS:
+        if kind == "email" and "@" not in norm.text:
+            continue
         for m in pattern.finditer(norm.text):
             g = 1 if pattern.groups else 0
             value = check(m.group(g))
+            if value is None:
+                continue
             a, b = m.span(g)
-            if value is None or any(a < y and x < b for x, y in taken):
+            k = bisect_right(taken, (a, b))
+            if (k and taken[k - 1][1] > a) or (k < len(taken) and taken[k][0] < b):
                 continue
-            taken.append((a, b))
+            taken.insert(k, (a, b))
             out.append((kind, *norm.source(a, b), value))
     return sorted(out, key=lambda f: (f[1], f[2]))
 
@@ -291,16 +312,17 @@ def find(text: str) -> list[tuple[str, int, int, str]]:
 def _rows(batches):
     for b in batches:
         ids, texts = b.column(0), b.column(1)
-        maybe = pc.fill_null(pc.match_substring_regex(texts, PREFILTER), False)
-        at = pc.indices_nonzero(maybe)
-        got = []
-        for i, text in zip(at.to_pylist(), texts.take(at).to_pylist()):
-            got += [(i, *f) for f in find(text)]
-        if got:
-            row, kind, start, end, value = zip(*got)
+        has = [pc.fill_null(pc.match_substring_regex(texts, x), False) for x in (HAS_SIGN, HAS_GLYPH, HAS_DISGUISE, HAS_SPELLED)]
+        sign, glyph, disguise, spelled = has
+        at = pc.indices_nonzero(pc.or_(pc.or_(sign, glyph), pc.or_(disguise, spelled)))
+        row, kind, start, end, value, source = [], [], [], [], [], []
+        spell, address = pc.or_(glyph, spelled).take(at).to_pylist(), pc.or_(glyph, disguise).take(at).to_pylist()
+        for i, text, s, d in zip(at.to_pylist(), texts.take(at).to_pylist(), spell, address):
+            for k, a, z, v in find(text, s, d):
+                row.append(i), kind.append(k), start.append(a), end.append(z), value.append(v), source.append(text[a:z])
+        if row:
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(row)), pa.array(kind), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(value), pa.array([texts[r].as_py()[s:e] for r, s, e in zip(row, start, end)])],
-                ["doc_id", "kind", "start", "end", "value", "source_text"],
+                [ids.take(pa.array(row)), pa.array(kind), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(value), pa.array(source)], ["doc_id", "kind", "start", "end", "value", "source_text"]
             )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgloom.llm import chat, exact, mixing, packing, quality, sharding, simhash
+from kgloom.llm import chat, exact, mixing, packing, pii, quality, scoring, sharding, simhash, substring
 
 #: Whole percentages: the four sources under contract, and all others together.
 MIX_WEIGHTS = {"src0": 5, "src1": 5, "src2": 5, "src3": 5, "*": 80}
@@ -18,6 +18,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op2_disguised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op4_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle_into_shards(_table(spark, sf_dir, "documents"), shards=64, seed=2024)
 
 
+def op5_bloom_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(_table(spark, sf_dir, "documents"))
+
+
 def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.remove_frequent_lines(_table(spark, sf_dir, "documents"))
 
@@ -34,6 +42,10 @@ def op7_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
 
+def op8_difference_cover_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), MIX_WEIGHTS)
 
@@ -51,10 +63,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     ops = [
         op1_best_fit_packing,
+        op2_disguised_pii,
         op3_simhash_near_dedup,
         op4_hypergeometric_sharding,
+        op5_bloom_lm_scores,
         op6_line_frequency,
         op7_role_repair,
+        op8_difference_cover_passages,
         op9_pfair_mixing,
         op10_cuckoo_exact_dedup,
         pipeline,

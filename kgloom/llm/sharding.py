@@ -8,6 +8,10 @@ so that any task can draw its block's row by itself, and draws the same one when
 it runs again. A block's rows are then permuted, the first of them dealt to
 shard 0, the next to shard 1 and so on, exchanged once, and permuted within
 their shard.
+
+A shard larger than ``part_rows`` is drawn as several parts of exact sizes, each
+permuted by a task of its own; since the parts' rows are uniform too, so is the
+shard's order, one part after another.
 """
 
 from __future__ import annotations
@@ -85,7 +89,14 @@ def matrix_row(sizes: np.ndarray, places: np.ndarray, block: int, seed: int) ->
     return places
 
 
-def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 0, block_rows: int = 1 << 18) -> DataFrame:
+def even(total: int, parts: int) -> np.ndarray:
+    """Sizes that differ by at most one, the larger ones first."""
+    out = np.full(parts, total // parts, np.int64)
+    out[: total % parts] += 1
+    return out
+
+
+def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 0, block_rows: int = 1 << 18, part_rows: int = 1 << 17) -> DataFrame:
     """All rows with their ``shard`` (from 0) and ``shard_position`` (from 0).
 
     Shard sizes differ by at most one, the larger ones first. Blocks are the
@@ -115,8 +126,10 @@ def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 0, block_rows:
     blocks = sorted((r["f"], r["b"], r["n"]) for r in found)
     sizes = np.array([n for *_, n in blocks], np.int64)
     rows = int(sizes.sum())
-    places = np.full(shards, rows // shards, np.int64)
-    places[: rows % shards] += 1
+    parts = max(1, math.ceil(rows / shards / part_rows))
+    of_shard = even(rows, shards)
+    places = np.concatenate([even(int(n), parts) for n in of_shard])
+    before = np.cumsum(places) - places - np.repeat(np.cumsum(of_shard) - of_shard, parts)
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(({(f, b): i for i, (f, b, _) in enumerate(blocks)}, sizes, places))
     drawn: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -129,7 +142,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 0, block_rows:
         return drawn[seed, i]
 
     @F.arrow_udf("int")
-    def shard_of(f: pa.Array, b: pa.Array, row: pa.Array) -> pa.Array:
+    def part_of(f: pa.Array, b: pa.Array, row: pa.Array) -> pa.Array:
         number = held.value[0]
         f = f.dictionary_encode()
         code, b, row = f.indices.to_numpy(), b.to_numpy(), row.to_numpy()
@@ -141,7 +154,12 @@ def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 0, block_rows:
         return pa.array(result)
 
     placed = docs.select(*[docs[f"`{c}`"] for c in out], *[c.alias(n) for c, n in zip(where, ("_kg_file", "_kg_row"))])
-    placed = placed.withColumn("shard", shard_of("_kg_file", F.floor(F.col("_kg_row") / block_rows).cast("long"), "_kg_row"))
+    placed = placed.withColumn("_kg_part", part_of("_kg_file", F.floor(F.col("_kg_row") / block_rows).cast("long"), "_kg_row"))
     again = F.xxhash64(F.lit(seed), F.col("_kg_file"), F.col("_kg_row"))
-    position = F.row_number().over(Window.partitionBy("shard").orderBy(again, "_kg_file", "_kg_row")) - 1
-    return placed.withColumn("shard_position", position).drop("_kg_file", "_kg_row")
+    rank = F.row_number().over(Window.partitionBy("_kg_part").orderBy(again, "_kg_file", "_kg_row")) - 1
+    if parts > 1:
+        start = F.broadcast(spark.createDataFrame([(i, int(n)) for i, n in enumerate(before)], "_kg_part int, _kg_start long"))
+        placed = placed.withColumn("_kg_rank", rank).join(start, "_kg_part")
+        rank = F.col("_kg_start") + F.col("_kg_rank")
+    placed = placed.withColumn("shard_position", rank.cast("long")).withColumn("shard", F.floor(F.col("_kg_part") / parts).cast("int"))
+    return placed.select(*[placed[f"`{c}`"] for c in out], "shard", "shard_position")

@@ -202,8 +202,10 @@ def _edges(radius: int):
 def block_sets(blocks: int) -> list[tuple[int, ...]]:
     """Which of the 16 byte blocks make each table's key.
 
-    Pairs: five perfect matchings, 40 tables of 16 bits. Triples: 160 of the
-    combinations, 24 bits each, evenly spread.
+    Pairs: five perfect matchings, 40 tables of 16 bits. Triples: 280 of the 560
+    combinations, 24 bits each, evenly spread. Of random pairs of codes at
+    distance 18, the largest radius that this is meant for, either finds about
+    nine in ten, and of closer ones nearly all.
     """
     if blocks == 2:
         rounds = []
@@ -212,7 +214,7 @@ def block_sets(blocks: int) -> list[tuple[int, ...]]:
             rounds += [tuple(sorted((ring[k], ring[15 - k]))) for k in range(8)]
         return rounds
     every = list(combinations(range(16), 3))
-    return [every[(i * 7) % len(every)] for i in range(160)]
+    return [every[(i * 99) % len(every)] for i in range(280)]  # 99 and 560 have no common factor
 
 
 def _byte(block: int):

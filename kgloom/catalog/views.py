@@ -96,7 +96,7 @@ VIEWS = {
     "UNION ALL SELECT o_custkey, o_orderkey, 'http://ex.org/c/' || CAST(o_custkey AS STRING), 'priority', '\"' || substr(o_orderpriority, 1, 1) || '\"' FROM orders WHERE o_orderkey % 13 <> 0",
     # entities in long form: (identifier, source, k, v)
     "properties": "SELECT 'c' || CAST(c_custkey AS STRING) AS identifier, 'www.shop' || CAST(c_nationkey % 4 AS STRING) || '.com' AS source, 'name' AS k, c_name AS v FROM customer WHERE c_custkey % 9 <> 0 "
-    "UNION ALL SELECT 'c' || CAST(c_custkey AS STRING), 'www.shop' || CAST(c_nationkey % 4 AS STRING) || '.com', '<market segment>', CASE WHEN c_custkey % 8 <> 0 THEN c_mktsegment END FROM customer WHERE c_custkey % 4 <> 0 "
+    "UNION ALL SELECT 'c' || CAST(c_custkey AS STRING), 'www.shop' || CAST(c_nationkey % 4 AS STRING) || '.com', '<market segment>', CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END FROM customer WHERE c_custkey % 4 <> 0 "
     "UNION ALL SELECT 'c' || CAST(c_custkey AS STRING), 'www.shop' || CAST(c_nationkey % 4 AS STRING) || '.com', 'balance', CAST(c_acctbal AS STRING) FROM customer WHERE c_custkey % 6 <> 0 "
     "UNION ALL SELECT 'c' || CAST(c_custkey AS STRING), 'www.shop' || CAST(c_nationkey % 4 AS STRING) || '.com', 'recId', CAST(c_custkey // 3 AS STRING) FROM customer WHERE c_custkey % 6 <> 0",
     "entity_ids": "SELECT 'c' || CAST(c_custkey AS STRING) AS identifier, 'www.shop' || CAST(c_nationkey % 4 AS STRING) || '.com' AS source FROM customer",

@@ -54,7 +54,8 @@ def test_filter_errs_only_upwards_and_rarely():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**64, 50_000, dtype=np.uint64)
     level = rng.integers(1, 8, len(keys))
-    f = scoring.LogFrequencyFilter(1, [(0, scoring.fill(keys, level))])
+    words = scoring.fill(keys, level)
+    f = scoring.LogFrequencyFilter(1, [(0, words)], len(words))
     got = f.levels(keys)
     assert (got >= level).all() and (got > level).mean() < 0.03
     assert (f.levels(rng.integers(0, 2**64, 50_000, dtype=np.uint64)) > 0).mean() < 0.03

@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from kgloom.llm.words import U
 
 FLUSH_KEYS = 3_000_000
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 8 << 20
 _UNKNOWN = 1 << 55
 
 
 def shard_count(df: DataFrame) -> int:
-    """Shards so that each has the keys of some 32 MB of input files, and no fewer than shuffle partitions."""
+    """Shards so that each has the keys of some 8 MB of input files, and no fewer than shuffle partitions."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(1, least, -(-size // SHARD_BYTES) if size < _UNKNOWN else 0)
@@ -59,8 +59,12 @@ def blocks(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterable[np.ndarra
     """(shard, block): what ``keys_of`` yields for each batch, counted by task and packed."""
 
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        keys = np.concatenate(held)
         held.clear()
+        keys.sort()
+        at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        counts = np.diff(np.r_[at, len(keys)])
+        keys = keys[at]
         to = shard_of(keys, shards)
         at = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
         ends = np.r_[at[1:], len(to)]
@@ -107,6 +111,7 @@ def merged(blocks_: DataFrame, shards: int, result: Callable[[int, np.ndarray, n
         for a, b in zip(at, np.r_[at[1:], len(to)]):
             row = result(int(to[a]), k[a:b], n[a:b])
             yield pa.RecordBatch.from_pylist([{c: row[c] for c in names}], schema=kind)
+        pa.default_memory_pool().release_unused()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

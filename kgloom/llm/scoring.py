@@ -19,6 +19,8 @@ scores.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +36,7 @@ MIN_COUNT = 2
 BITS_PER_PAIR = 16
 WEIGHT = 0.6
 BROADCAST_MB = 256
+PIECE_BYTES = 16 << 20
 _JOIN = U(0x9E3779B97F4A7C15)
 _LEVEL = U(0xA24BAED4963EE407)
 
@@ -92,14 +95,16 @@ def fill(keys: np.ndarray, levels: np.ndarray, bits_per_pair: int = BITS_PER_PAI
 class LogFrequencyFilter:
     """Shards of a filter, side by side in one array."""
 
-    def __init__(self, shards: int, parts: list[tuple[int, np.ndarray]]):
+    def __init__(self, shards: int, parts: Iterable[tuple[int, np.ndarray]], total: int):
+        """``parts``: (shard, words), of ``total`` words together; taken in one by one."""
         self.shards = shards
         self.size, self.start = np.zeros(shards, U), np.zeros(shards, np.int64)
+        self.words = np.empty(total, U)
         at = 0
         for s, words in parts:
             self.size[s], self.start[s] = len(words), at
+            self.words[at : at + len(words)] = words
             at += len(words)
-        self.words = np.concatenate([w for _, w in parts]) if parts else np.zeros(0, U)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key, by probing until a pair is missing."""
@@ -116,6 +121,34 @@ class LogFrequencyFilter:
         return out
 
 
+class Pieces:
+    """A filter broadcast in pieces, so that the driver never holds it whole; a task puts it together and drops it."""
+
+    def __init__(self, table: DataFrame, shards: int, sizes: list[tuple[int, int]]):
+        """``sizes``: (shard, bytes)."""
+        self.shards, self.total, self.held = shards, sum(n for _, n in sizes) // 8, []
+        group, size = [], 0
+        for s, n in [*sorted(sizes), (shards, PIECE_BYTES)]:
+            if group and size + n > PIECE_BYTES:
+                got = table.where(F.col("shard").between(group[0], group[-1])).select("shard", "filter").toArrow()
+                piece = [(i.as_py(), f.as_py()) for i, f in zip(got.column(0), got.column(1))]
+                self.held.append(table.sparkSession.sparkContext.broadcast(piece))
+                del got, piece
+                group, size = [], 0
+            group.append(s)
+            size += n
+
+    def filter(self) -> LogFrequencyFilter:
+        return LogFrequencyFilter(self.shards, self._parts(), self.total)
+
+    def _parts(self):
+        for b in self.held:
+            for s, f in b.value:
+                yield s, np.frombuffer(f, U)
+            if hasattr(b, "_value"):
+                del b._value
+
+
 def _model(docs: DataFrame, order: int, min_count: int) -> tuple[DataFrame, int]:
     """(the filter's shards as a table in the shared folder, their number)."""
     shards = shard_count(docs)
@@ -204,18 +237,17 @@ def score(
     tokens, words = int(tokens or 0), int(words or 0)
     if (size or 0) > broadcast_mb * 1e6:
         return _score_by_shuffle(src, table, shards, order, tokens, words, weight)
-    got = table.select("shard", "filter").toArrow()
-    parts = [(s.as_py(), np.frombuffer(f.as_py(), U)) for s, f in zip(got.column(0), got.column(1))]
-    held = docs.sparkSession.sparkContext.broadcast(LogFrequencyFilter(shards, parts))
-    del got, parts
+    pieces = Pieces(table, shards, [tuple(r) for r in table.select("shard", F.length("filter")).collect()])
 
     def run(batches):
+        known = None
         for b in batches:
+            known = known or pieces.filter()
             data, offsets = buffers(b.column(1))
             for i, j in doc_groups(offsets):
                 start, end = offsets[i], offsets[j]
                 doc, _, _, h = word_spans(data[start:end], offsets[i : j + 1] - start)
-                levels = _sought(doc, ngrams(doc, h, order), held.value.levels)
+                levels = _sought(doc, ngrams(doc, h, order), known.levels)
                 yield _result(b.column(0).slice(i, j - i), *_scores(doc, levels, j - i, tokens, words, weight))
 
     return src.mapInArrow(run, _SCHEMA)
@@ -252,7 +284,7 @@ def _score_by_shuffle(src: DataFrame, table: DataFrame, shards: int, order: int,
             out = []
             for s, row, at, body in zip(*(c.to_pylist() for c in b.columns)):
                 if row is None:  # sorts first in its shard
-                    held = LogFrequencyFilter(shards, [(s, np.frombuffer(body, U))])
+                    held = LogFrequencyFilter(shards, [(s, np.frombuffer(body, U))], len(body) // 8)
                 else:
                     out.append((row, at, held.levels(np.frombuffer(body, U)).tobytes()))
             if out:

@@ -36,7 +36,7 @@ def test_json_graph_drops_dangling_edges(spark, tmp_path):
 
 def test_csv_graph_unescapes(spark, tmp_path):
     (tmp_path / "metadata.csv").write_text("v;A;gtId:string,na\\:me:string,age:int\n")
-    (tmp_path / "vertices.csv").write_text("1;g;A;7|a\;b\\|c|-1\n2;g;A;8||\n")
+    (tmp_path / "vertices.csv").write_text("1;g;A;7|a\\;b\\|c|-1\n2;g;A;8||\n")
     (tmp_path / "edges.csv").write_text("e;g;1;2;x;0.25\ne;g;1;5;x;1\n")
     e, links = graph_folder.read_graph(spark, str(tmp_path))
     assert {r.identifier: r.properties for r in e.collect()} == {"1": {"recId": "7", "na:me": "a;b|c", "age": "-1"}, "2": {"recId": "8"}}

@@ -15,14 +15,20 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, also set as the checkpoint folder."""
+    """The folder all executors share, also set as the checkpoint folder.
+
+    Without the setting a folder is made on this machine, which only serves a
+    local master; on a cluster that is an error.
+    """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="kgloom-"))
     return sc.getCheckpointDir().rstrip("/")
 

@@ -39,7 +39,7 @@ def csv_vertices(lines: DataFrame, metadata: DataFrame) -> DataFrame:
     """Entities from lines ``id;graph;source;v1|v2|...``; empty values are left out, ``gtId`` becomes ``recId``."""
     p = _split("value", ";")
     rows = lines.select(F.rtrim(F.col("value")).alias("value")).where("value <> ''").select(F.get(p, F.lit(0)).alias("identifier"), F.get(p, F.lit(2)).alias("source"), F.get(p, F.lit(3)).alias("v"))
-    rows = rows.join(F.broadcast(metadata), "source").withColumn("v", _split("v", "|"))
+    rows = rows.join(metadata, "source").withColumn("v", _split("v", "|"))
     pairs = F.arrays_zip("names", "v")
     keep = F.filter(pairs, lambda x: x["names"].isNotNull() & x["v"].isNotNull() & (x["v"] != ""))
     entry = F.transform(keep, lambda x: F.struct(F.when(x["names"] == "gtId", "recId").otherwise(_plain(x["names"])), _plain(x["v"])))

@@ -8,6 +8,7 @@ place of some 20). A shard's blocks meet in one task and are added up.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from kgloom.llm.words import U
 
-FLUSH_KEYS = 3_000_000
+FLUSH_KEYS = 1_500_000
 SHARD_BYTES = 8 << 20
 _UNKNOWN = 1 << 55
 
@@ -44,15 +45,25 @@ def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
 def unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     planes = np.frombuffer(block, np.uint8).reshape(12, -1)
     keys = np.cumsum(np.ascontiguousarray(planes[:8].T).view("<u8").ravel(), dtype=U)
-    return keys, np.ascontiguousarray(planes[8:].T).view("<u4").ravel().astype(np.int64)
+    return keys, np.ascontiguousarray(planes[8:].T).view("<u4").ravel()
 
 
 def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, with the sums of their counts."""
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
+    keys = keys[order]
+    counts = counts[order]
+    del order
     at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+    return keys[at], np.minimum(np.add.reduceat(counts, at, dtype=np.int64), 0xFFFFFFFF).astype(np.uint32) if len(at) else counts
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
 
 
 def blocks(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterable[np.ndarray]], shards: int) -> DataFrame:
@@ -84,6 +95,7 @@ def blocks(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterable[np.ndarra
                     size = 0
         if held:
             yield from flush(held)
+        trim()
 
     return df.mapInArrow(run, "shard int, block binary")
 
@@ -100,18 +112,22 @@ def merged(blocks_: DataFrame, shards: int, result: Callable[[int, np.ndarray, n
                 keys.append(k)
                 counts.append(n)
             if len(keys) > 64:  # what repeats between blocks is added up on the way
-                k, n = added(np.concatenate(keys), np.concatenate(counts))
-                keys, counts = [k], [n]
+                k, n = np.concatenate(keys), np.concatenate(counts)
+                keys.clear(), counts.clear()
+                k, n = added(k, n)
+                keys.append(k), counts.append(n)
         if not keys:
             return
-        k, n = added(np.concatenate(keys), np.concatenate(counts))
-        del keys, counts
+        k, n = np.concatenate(keys), np.concatenate(counts)
+        keys.clear(), counts.clear()
+        k, n = added(k, n)
         to = shard_of(k, shards)
         at = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
         for a, b in zip(at, np.r_[at[1:], len(to)]):
             row = result(int(to[a]), k[a:b], n[a:b])
             yield pa.RecordBatch.from_pylist([{c: row[c] for c in names}], schema=kind)
-        pa.default_memory_pool().release_unused()
+        del k, n, to
+        trim()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

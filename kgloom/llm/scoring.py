@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.llm import names
-from kgloom.llm.counting import blocks, merged, shard_count, shard_of
+from kgloom.llm.counting import blocks, merged, shard_count, shard_of, trim
 from kgloom.llm.words import U, buffers, doc_groups, mix, word_spans
 from kgloom.plans.durable import written
 
@@ -249,6 +249,8 @@ def score(
                 doc, _, _, h = word_spans(data[start:end], offsets[i : j + 1] - start)
                 levels = _sought(doc, ngrams(doc, h, order), known.levels)
                 yield _result(b.column(0).slice(i, j - i), *_scores(doc, levels, j - i, tokens, words, weight))
+        del known
+        trim()
 
     return src.mapInArrow(run, _SCHEMA)
 

@@ -16,11 +16,13 @@ def parse_ntriples(lines: DataFrame, column: str = "value") -> DataFrame:
     The object is all from the third term to the final dot, so a graph name
     stays inside it.
     """
-    line = F.trim(F.regexp_replace(F.col(column), r"^[\s]+|[\s]+$", ""))
-    rows = lines.select(line.alias("l")).where((F.col("l") != "") & ~F.col("l").startswith("#") & F.col("l").endswith("."))
-    parts = F.split("l", r"\s+", 3)
-    o = F.regexp_replace(F.get(F.col("t"), F.lit(2)), r"\s*\.\s*$", "")
-    rows = rows.select(parts.alias("t")).where(F.size("t") == 3).select(F.get("t", F.lit(0)).alias("s"), F.get("t", F.lit(1)).alias("p"), o.alias("o"))
+    blank = F.lit(" \t\n\x0b\f\r")
+    rows = lines.select(F.trim(F.col(column), blank).alias("l")).where((F.col("l") != "") & ~F.col("l").startswith("#") & F.col("l").endswith("."))
+    # a generator keeps the split from being worked out anew for every use of a part
+    rows = rows.select(F.explode(F.array(F.split("l", r"\s+", 3))).alias("t")).where(F.size("t") == 3)
+    rest = F.get("t", F.lit(2))
+    o = F.rtrim(F.substring(rest, F.lit(1), F.length(rest) - 1), blank)
+    rows = rows.select(F.get("t", F.lit(0)).alias("s"), F.get("t", F.lit(1)).alias("p"), o.alias("o"))
     return rows.where("o <> ''").withColumn("isLiteral", F.col("o").startswith('"'))
 
 

@@ -31,7 +31,7 @@ def op4_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bloom_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score(_table(spark, sf_dir, "documents"))
+    return scoring.score(_table(spark, sf_dir, "documents"), min_count=1)
 
 
 def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,10 +224,11 @@ def score(
     """(doc_id, n_words, log10_prob, perplexity) of every row under the corpus's own n-grams.
 
     All documents are counted and all are scored. Longer n-grams that occur
-    less than ``min_count`` times in the corpus count as unseen: with 2, a
-    document isn't its own evidence. A null, empty or wordless text has 0 words
-    and null scores. Null ids stay null; repeated rows count and are scored
-    each. Other columns are ignored; an empty table gives no rows.
+    less than ``min_count`` times in the corpus count as unseen; with 1 the
+    filter holds all, as in the query. A document's own n-grams count in its
+    score. A null, empty or wordless text has 0 words and null scores. Null ids
+    stay null; repeated rows count and are scored each. Other columns are
+    ignored; an empty table gives no rows.
     """
     if order < 1:
         raise ValueError("order must be positive")

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from kgloom.llm import scoring
+from kgloom.llm import queries, scoring
 from kgloom.llm.words import buffers, word_spans
 import pyarrow as pa
 
@@ -70,6 +70,20 @@ def test_whole_table_against_exact(spark, sf):
     assert [r.n_words for r in got] == [w[0] for w in want] and np.mean(close) > 0.98
 
 
+def test_query_holds_ngrams_that_occur_once(spark, sf):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    got = queries.op5_bloom_lm_scores(spark, sf).orderBy("doc_id").collect()
+    # false hits of the filter move a short text by a few percent
+    close = [abs(r.log10_prob - w[1]) < 0.05 * abs(w[1]) for r, w in zip(got, exact(texts, min_count=1), strict=True) if w[0]]
+    assert np.mean(close) > 0.98
+
+
+@pytest.mark.parametrize("mb", [256, 0])
+def test_singletons_both_ways(spark, mb):
+    for (n, got), (m, want) in zip(run(spark, TEXTS, broadcast_mb=mb, min_count=1), exact(TEXTS, min_count=1), strict=True):
+        assert n == m and (got is None and want is None or abs(got - want) < 1e-9)
+
+
 def test_empty_null_ids_clashing_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert scoring.score(empty).count() == 0

@@ -75,7 +75,7 @@ _SPOKEN = "|".join(sorted([*_DIGIT, *_MARK, *_TIMES], key=len, reverse=True))
 _STRONG = "|".join(sorted(_DIGIT, key=len, reverse=True))
 _TOKEN = re.compile(rf"(?<![^\W\d_])(?:{_SPOKEN})(?![^\W\d_])|\d+", re.I)
 _GAP = r"[ \t.,\-_/()]*"
-#: A run of spelled digits, digits and marks, with at least four spelled words.
+#: A run of spelled digits, digits and marks; ``_spell`` says which count.
 _RUN = re.compile(rf"(?<![^\W_])(?:\+?(?:{_SPOKEN}|\d)(?![^\W\d_])(?:{_GAP}(?:(?:{_SPOKEN})(?![^\W\d_])|\d))*)", re.I)
 
 _AT = r"(?:at|arroba|ät|aet|arobase)"
@@ -158,10 +158,33 @@ class Mapped:
         return lo, hi
 
 
+_NUMBER = re.compile(r"\d{10}|[01]\d{10}")
+
+
+def _digits(tokens: list[re.Match]) -> str:
+    out, times = "", 1
+    for t in tokens:
+        w = t.group(0).lower()
+        if w not in _TIMES and w not in _MARK:
+            out += _DIGIT.get(w, w) * times
+        times = _TIMES.get(w, 1)
+    return out
+
+
+def _plain(text: str) -> bool:
+    """Whether a detector finds something in the text as it is."""
+    return any(check(m.group(1 if p.groups else 0)) is not None for _, p, check in DETECTORS for m in p.finditer(text))
+
+
 def _spell(m: re.Match) -> list[tuple[int, int, str]]:
-    """Rewrites of one run of spelled digits: a digit a word, gaps between digits closed."""
+    """Rewrites of one run of spelled digits: a digit a word, gaps between digits closed.
+
+    A run counts with four spelled words, or with fewer if its digits are as
+    many as a phone number's and it doesn't hold an identifier as it stands.
+    """
     tokens = list(_TOKEN.finditer(m.group(0)))
-    if sum(t.group(0).lower() in _DIGIT for t in tokens) < 4:
+    words = sum(t.group(0).lower() in _DIGIT for t in tokens)
+    if not words or words < 4 and (not _NUMBER.fullmatch(_digits(tokens)) or _plain(m.group(0))):
         return []
     spans, times, before = [], 1, None
     for t in tokens:
@@ -268,6 +291,11 @@ def _phone(s: str) -> str | None:
     return ("+" if s.startswith("+") else "") + d if 10 <= len(d) <= 15 else None
 
 
+def _spelled_phone(s: str) -> str | None:
+    d = re.sub(r"\D", "", s)
+    return d if len(set(d)) > 1 else None  # "un un un ..." is a word said again
+
+
 def _ssn(s: str) -> str | None:
     a, b, c = s.split("-")
     return None if a in ("000", "666") or a > "899" or b == "00" or c == "0000" else s
@@ -280,8 +308,11 @@ DETECTORS = [
     ("card", re.compile(r"(?<![\w.+\-])\d(?:[ \-.]?\d){12,18}(?![\w\-]|\.\d)"), _card),
     ("ip", re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"), _ip),
     ("ssn", re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"), _ssn),
-    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\w\-]|\.\d)"), _phone),
+    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}|(?<!\d )[2-9]\d{2} [2-9]\d{2} \d{4}(?! \d))(?![\w\-]|\.\d)"), _phone),
 ]
+_SEP = r"[ .\-()/]{0,3}"
+#: A phone number without a plus or groups; it counts only where words stood for digits.
+_SPELLED_PHONE = re.compile(rf"(?<![\w+])(?:(?:[01]{_SEP})?\d(?:{_SEP}\d){{9}}|\d{{11}})(?!\w|{_SEP}\d)")
 
 
 def find(text: str, spelled: bool = True, disguised: bool = True) -> list[tuple[str, int, int, str]]:
@@ -292,7 +323,7 @@ def find(text: str, spelled: bool = True, disguised: bool = True) -> list[tuple[
     norm = normalise(text, spelled, disguised)
     taken: list[tuple[int, int]] = []  # ascending and disjoint
     out = []
-    for kind, pattern, check in DETECTORS:
+    for kind, pattern, check in [*DETECTORS, ("phone", _SPELLED_PHONE, _spelled_phone)] if spelled else DETECTORS:
         if kind == "email" and "@" not in norm.text:
             continue
         for m in pattern.finditer(norm.text):
@@ -301,6 +332,8 @@ def find(text: str, spelled: bool = True, disguised: bool = True) -> list[tuple[
             if value is None:
                 continue
             a, b = m.span(g)
+            if pattern is _SPELLED_PHONE and not re.search(r"[^\W\d_]", text[slice(*norm.source(a, b))]):
+                continue
             k = bisect_right(taken, (a, b))
             if (k and taken[k - 1][1] > a) or (k < len(taken) and taken[k][0] < b):
                 continue

@@ -29,6 +29,33 @@ def test_spans_point_into_the_source(text, want):
         assert [(k, (before + text)[a:b], v) for k, a, b, v in got] == want
 
 
+@pytest.mark.parametrize(
+    "span,value",
+    [
+        ("four one five five five five zero one two nine", "4155550129"),
+        ("four one five - five five five - zero one two nine", "4155550129"),
+        ("one four one five five five five zero one two nine", "14155550129"),
+        ("four one double five five five zero one two nine", "4155550129"),
+        ("415 555 zero one two 9", "4155550129"),
+        ("(415) 555 012 nine", "4155550129"),
+        ("plus 1 four 1 five 5 five 5 zero 1 two 9", "+14155550129"),
+        ("null eins sieben eins zwei drei vier fünf sechs sieben acht", "01712345678"),
+        ("415 555 0129", "4155550129"),
+    ],
+)
+def test_spelled_numbers_without_commas_or_plus(span, value):
+    for before, after in (("", ""), ("call ", " now"), ("é, call: ", ".")):
+        text = before + span + after
+        assert [(k, text[a:b], v) for k, a, b, v in pii.find(text)] == [("phone", span, value)]
+
+
+def test_an_identifier_beside_a_spelled_word_stays():
+    for text, want in (("123-45-6789 one", "123-45-6789"), ("192.168.10.20 one", "192.168.10.20"), ("415-555-0129, one more", "4155550129"), ("+1 415 555 0129, one", "+14155550129")):
+        assert [v for *_, v in pii.find(text)] == [want]
+    assert pii.find("4155550129 and 1 234 567 8901 234, one two three four five") == []
+    assert pii.find("un " * 11) == []
+
+
 def test_rewrites_keep_a_source_span_for_each_character():
     m = pii.Mapped("abcdef").rewrite([(1, 3, "XYZ"), (4, 5, "")])
     assert m.text == "aXYZdf" and m.source(0, 1) == (0, 1) and m.source(1, 2) == (1, 3) and m.source(4, 6) == (3, 6)

@@ -92,13 +92,16 @@ _DOT_FIND = re.compile(_DOT_ANY, re.I)
 _PLAIN_AT = re.compile(rf"\s+{_AT}\s+", re.I)
 
 # RE2 pre-filters, run by Arrow over whole columns: a text that they all miss has nothing to find
-HAS_SIGN = r"[@0-9]"
-HAS_GLYPH = (
-    r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}\x{0131}\x{0261}"
-    r"\x{0370}-\x{052F}\x{0660}-\x{0669}\x{06F0}-\x{06F9}\x{0966}-\x{096F}\x{2070}-\x{214F}\x{2460}-\x{24EB}\x{FE50}-\x{FE6F}\x{FF01}-\x{FF5E}\x{1D400}-\x{1D7FF}\x{1F100}-\x{1F18F}]"
-)
-HAS_DISGUISE = rf"(?i:(?:\s|{_OPEN}\s*){_DOT}(?:\s|\s*{_CLOSE})|{_OPEN}\s*(?:\.|@|{_AT})\s*{_CLOSE})"
-HAS_SPELLED = rf"(?i:(?:{_SPOKEN})(?:[ \t.,\-_/()]+(?:{_SPOKEN})){{3}})"
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"  # what Python's \s takes
+HAS_SIGN = rf"[@\p{{Nd}}]|(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key){_BLANK}*[=:]"
+#: Every character that ``normalise`` undoes, and the capital I with a dot, which Python's re takes for an i.
+HAS_GLYPH = "[" + "".join(rf"\x{{{c:X}}}" for c in sorted({*GLYPHS, *map(ord, _INVISIBLE), 0x130}) if c > 127) + "]"
+HAS_DISGUISE = rf"(?i:(?:{_BLANK}|{_OPEN}{_BLANK}*){_DOT}(?:{_BLANK}|{_BLANK}*{_CLOSE})|{_OPEN}{_BLANK}*(?:\.|@|{_AT}){_BLANK}*{_CLOSE})"
+# a run that counts has four members or more, one of them a spelled digit
+_MEMBER = rf"(?:{_SPOKEN}|\p{{Nd}})"
+_NEXT = rf"(?:{_GAP}{_MEMBER})"
+_BEFORE = rf"(?:{_MEMBER}\+?{_GAP}\+?)"
+HAS_SPELLED = "(?i:" + "|".join(rf"{_BEFORE}{{{n}}}(?:{_STRONG}){_NEXT}{{{3 - n}}}" for n in range(4)) + ")"
 
 
 class Mapped:

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 
 from kgloom.llm import pii
@@ -69,6 +70,26 @@ def test_query_equals_search_without_prefilters(spark, sf):
     assert got == sorted((r.doc_id, k, a, b, v, r.text[a:b]) for r in docs.collect() for k, a, b, v in pii.find(r.text or "")) and got
 
 
+BLANKS = [chr(c) for c in (0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)]
+UNSEEN = (
+    ["plus 1 four 1 five 5 five 5 zero 1 two 9", "415 555 zero one two 9", "triple five triple five triple five 1", "four one five five five five zero one two nine"]
+    + [f"jane{b}at{b}example{b}dot{b}com" for b in [*BLANKS, "\x0b", "\x1c", "\x85", "\u1680", "\u2028"]]
+    + [b.join("four one five five five five zero one two nine".split()) for b in BLANKS]
+    + [f"four one five {d} five five five {d} zero one two nine" for d in "‐‑‒–—−"]
+    + [h.join("four one five, five five five, zero one two nine".split(" ")).replace(h, h + " ") for h in "\ufe0e\ufe0f\u17b4\u17b5\u200b\u00ad"]
+    + [f"f{h}our one five five five five zero one two nine" for h in "\ufe0e\ufe0f\u17b4\u17b5\u200b\u00ad"]
+    + ["১২৩-৪৫-৬৭৮৯", "password: correcthorsebatterystaple", "joe@example poİnt com"]
+)
+
+
+def test_prefilters_drop_nothing_that_find_catches():
+    texts = UNSEEN + [t for t, _ in CASES] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    got = [tuple(r.values()) for b in pii._rows([batch]) for r in b.to_pylist()]
+    assert got == [(i, k, a, z, v, t[a:z]) for i, t in enumerate(texts) for k, a, z, v in pii.find(t or "")]
+    assert sum(i < len(UNSEEN) for i in {r[0] for r in got}) >= len(UNSEEN) - 2
+
+
 def test_nulls_repeats_long_texts_and_extra_columns(spark):
     long = "word " * 200_000 + "jane at example dot com" + " x" * 100_000
     df = spark.createDataFrame([(1, long, 1), (None, "a@b.co", 2), (2, None, 3), (2, "", 3), (3, "a@b.co", 4), (3, "a@b.co", 4)], "doc_id long, text string, kind int")

@@ -66,6 +66,27 @@ def test_block_sets_reach_far_pairs(blocks):
         assert sum(any(not set(t) & x for t in simhash.block_sets(blocks)) for x in dirty) >= least * 1000
 
 
+def test_recall_at_the_radius_is_nine_in_ten():
+    rng = random.Random(11)
+    dirty = [{b // 8 for b in rng.sample(range(128), 18)} for _ in range(20_000)]
+    assert sum(any(not set(t) & x for t in simhash.block_sets(2)) for x in dirty) >= 0.9 * len(dirty)
+
+
+def test_block_scheme_is_the_same_at_every_size(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(200):
+        a = rng.integers(0, 256, 16, dtype=np.uint8)
+        b = a.copy()
+        for x in rng.choice(128, 18, replace=False):
+            b[x // 8] ^= np.uint8(1 << (x % 8))
+        rows += [(2 * k + i, *map(int, c.view(np.int64))) for i, c in enumerate((a, b))]
+    nodes = spark.createDataFrame(rows, "node long, c0 long, c1 long")
+    few = {tuple(r) for r in simhash.near_edges(nodes).collect()}
+    monkeypatch.setattr(type(nodes), "count", lambda self: (1 << 24) + 1)
+    assert {tuple(r) for r in simhash.near_edges(nodes).collect()} == few and len(few) >= 0.85 * 200
+
+
 def test_recall_on_a_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = near_groups([r.asDict() for r in docs.collect()])

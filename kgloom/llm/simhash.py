@@ -267,20 +267,36 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, text: str = "text", doc_i
     a text each joins its own group. Other columns are ignored. An empty table
     gives no rows.
     """
+    return _grouped(docs, radius, text, doc_id).groupBy("doc_id").agg(F.min("dup_of").alias("dup_of"))
+
+
+def _grouped(docs: DataFrame, radius: int, text: str, doc_id: str) -> DataFrame:
+    """(doc_id, c0, c1, dup_of) of each row with a code whose group has a smaller id."""
     codes = cut(simhash_codes(docs, text, doc_id))
-    nodes = cut(codes.groupBy("c0", "c1").agg(F.min("doc_id").alias("node")))
-    comp = connected_components(near_edges(nodes, radius), "src", "dst")
-    member = codes.join(nodes, ["c0", "c1"])
-    return (
-        member.join(comp, F.col("node") == F.col("vertex"), "left")
-        .select("doc_id", F.coalesce("component", "node").alias("dup_of"))
-        .where("doc_id <> dup_of")
-        .groupBy("doc_id")
-        .agg(F.min("dup_of").alias("dup_of"))
-    )
+    # a node is a code: two codes under one id are two nodes
+    nodes = codes.groupBy("c0", "c1").agg(F.min("doc_id").alias("least"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    comp = connected_components(near_edges(nodes.drop("least"), radius), "src", "dst")
+    named = nodes.join(comp, F.col("node") == F.col("vertex"), "left").select("c0", "c1", "least", F.coalesce("component", "node").alias("group"))
+    first = named.groupBy("group").agg(F.min("least").alias("dup_of"))
+    return codes.join(named.join(first, "group").select("c0", "c1", "dup_of"), ["c0", "c1"]).where("doc_id <> dup_of")
+
+
+_CODE = "struct<c0:bigint,c1:bigint>"
+
+
+def _code(texts: pa.Array) -> pa.Array:
+    codes, has = codes_of(texts)
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(codes[:, k]).view(np.int64)) for k in (0, 1)], ["c0", "c1"], mask=pa.array(~has))
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents without those that ``near_groups`` names; all columns stay."""
-    gone = near_groups(docs, radius, text, doc_id).select("doc_id")
-    return without(docs, names.col(docs, doc_id).cast("long"), gone)
+    """One document of each group of ``near_groups``; all columns stay.
+
+    A row goes by its id and code, so of several texts under an id only those
+    go whose own group has a smaller id. Rows without a code stay.
+    """
+    gone = _grouped(docs, radius, text, doc_id).select(F.struct("doc_id", F.struct("c0", "c1").alias("code"))).distinct()
+    code = F.arrow_udf(_code, _CODE)(names.col(docs, text))
+    key = F.struct(names.col(docs, doc_id).cast("long").alias("doc_id"), code.alias("code"))
+    return without(docs.withColumn("_key", key), F.col("_key"), gone, 1_000_000).select(*[f"`{c}`" for c in docs.columns])

@@ -104,3 +104,13 @@ def test_both_block_sets_and_edges(spark):
     assert simhash.near_groups(df.where("false")).count() == 0
     codes = simhash.simhash_codes(df.where("doc_id is not null")).selectExpr("doc_id as node", "c0", "c1").distinct()
     assert simhash.near_edges(codes, blocks=3).count() >= 1
+
+
+def test_each_group_keeps_a_row_where_ids_repeat(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(100)) for x in ("left", "right"))
+    df = spark.createDataFrame([(2, a), (5, a), (2, b), (1, b), (5, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text or "") for r in simhash.near_dedup(df).collect()) == [(1, b), (2, a), (5, "")]
+    # two texts under an id don't join their groups
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (7, b)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.near_groups(df).collect()) == [(2, 1), (7, 2)]
+    assert sorted(tuple(r) for r in simhash.near_dedup(df).collect()) == [(1, a), (2, b)]

@@ -1,15 +1,20 @@
 """Counting 64-bit keys over a whole corpus without a row per key.
 
 A task counts the keys of its documents and packs them, sorted, into one block
-per shard of the key space: deltas and counts, byte plane by byte plane, so that
+per range of the key space: deltas and counts, byte plane by byte plane, so that
 the shuffle's own compression takes out the zero planes (about 6 bytes a key in
-place of some 20). A shard's blocks meet in one task and are added up.
+place of some 20). A range's blocks meet in one task and are added up.
+
+There are as many shards as the input asks for, a power of two, but never more
+than ``PARTITIONS`` ranges to shuffle to: with more shards than that a range's
+task splits its blocks by shard, sorts them outside memory and adds up one shard
+at a time. No task holds more than one shard's keys and one buffer.
 """
 
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -18,21 +23,23 @@ from pyspark.sql import functions as F
 
 from kgloom.llm.words import U
 
-FLUSH_KEYS = 1_500_000
+FLUSH_KEYS = 3_000_000
 SHARD_BYTES = 8 << 20
+PARTITIONS = 4096
 _UNKNOWN = 1 << 55
 
 
 def shard_count(df: DataFrame) -> int:
-    """Shards so that each has the keys of some 8 MB of input files, and no fewer than shuffle partitions."""
+    """A power of two: shards with the keys of some 8 MB of input files at most, and no fewer than shuffle partitions."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, least, -(-size // SHARD_BYTES) if size < _UNKNOWN else 0)
+    return 1 << (max(1, min(least, PARTITIONS), -(-size // SHARD_BYTES) if size < _UNKNOWN else 0) - 1).bit_length()
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Equal ranges of the key space, in ascending order."""
-    return (((keys >> U(32)) * U(shards)) >> U(32)).astype(np.int32)
+    """The leading bits: equal ranges of the key space, in ascending order; ``shards`` is a power of two."""
+    bits = shards.bit_length() - 1
+    return (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
 
 def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -66,22 +73,31 @@ def trim() -> None:
         give(0)
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of each run of equal values."""
+    at = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    return at, np.r_[at[1:], len(values)]
+
+
+def _split(keys: np.ndarray, counts: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Sorted keys as one row (range, block) for each range that has any."""
+    to = shard_of(keys, ranges)
+    at, ends = _runs(to)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(to[at].astype(np.int32)), pa.array([packed(keys[a:b], counts[a:b]) for a, b in zip(at, ends)], pa.binary())], ["shard", "block"]
+    )
+
+
 def blocks(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterable[np.ndarray]], shards: int) -> DataFrame:
-    """(shard, block): what ``keys_of`` yields for each batch, counted by task and packed."""
+    """(shard, block): what ``keys_of`` yields for each batch, counted by task and packed, one block a range."""
+    ranges = min(shards, PARTITIONS)
 
-    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         keys = np.concatenate(held)
         held.clear()
         keys.sort()
-        at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        counts = np.diff(np.r_[at, len(keys)])
-        keys = keys[at]
-        to = shard_of(keys, shards)
-        at = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-        ends = np.r_[at[1:], len(to)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(to[at]), pa.array([packed(keys[a:b], counts[a:b]) for a, b in zip(at, ends)], pa.binary())], ["shard", "block"]
-        )
+        at, ends = _runs(keys)
+        return _split(keys[at], ends - at, ranges)
 
     def run(batches):
         held, size = [], 0
@@ -91,46 +107,80 @@ def blocks(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterable[np.ndarra
                     held.append(keys)
                     size += len(keys)
                 if size >= FLUSH_KEYS:
-                    yield from flush(held)
+                    yield flush(held)
                     size = 0
         if held:
-            yield from flush(held)
+            yield flush(held)
         trim()
 
     return df.mapInArrow(run, "shard int, block binary")
 
 
+class _Sum:
+    """Blocks added up; what repeats between them is added up on the way."""
+
+    def __init__(self):
+        self.keys, self.counts, self.size, self.least = [], [], 0, FLUSH_KEYS
+
+    def take(self, block: bytes) -> None:
+        k, n = unpacked(block)
+        self.keys.append(k)
+        self.counts.append(n)
+        self.size += len(k)
+        if self.size >= self.least:
+            k, n = self.total()
+            self.keys.append(k), self.counts.append(n)
+            self.size, self.least = len(k), max(FLUSH_KEYS, 2 * len(k))
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        k, n = np.concatenate(self.keys), np.concatenate(self.counts)
+        self.__init__()
+        return added(k, n)
+
+
+def _finer(shards: int):
+    """mapInArrow over a range's blocks: the same keys in blocks by shard."""
+
+    def run(batches):
+        held = _Sum()
+        for b in batches:
+            for block in b.column(1):
+                held.take(block.as_py())
+                if held.size >= FLUSH_KEYS:
+                    yield _split(*held.total(), shards)
+        if held.size:
+            yield _split(*held.total(), shards)
+        trim()
+
+    return run
+
+
 def merged(blocks_: DataFrame, shards: int, result: Callable[[int, np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:
     """One call of ``result(shard, keys, counts)`` for each shard that has keys; its dict is the row."""
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
+    ranges = min(shards, PARTITIONS)
 
     def run(batches):
-        keys, counts = [], []
+        now, held = None, _Sum()
         for b in batches:
-            for block in b.column(1):
-                k, n = unpacked(block.as_py())
-                keys.append(k)
-                counts.append(n)
-            if len(keys) > 64:  # what repeats between blocks is added up on the way
-                k, n = np.concatenate(keys), np.concatenate(counts)
-                keys.clear(), counts.clear()
-                k, n = added(k, n)
-                keys.append(k), counts.append(n)
-        if not keys:
-            return
-        k, n = np.concatenate(keys), np.concatenate(counts)
-        keys.clear(), counts.clear()
-        k, n = added(k, n)
-        to = shard_of(k, shards)
-        at = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-        for a, b in zip(at, np.r_[at[1:], len(to)]):
-            row = result(int(to[a]), k[a:b], n[a:b])
-            yield pa.RecordBatch.from_pylist([{c: row[c] for c in names}], schema=kind)
-        del k, n, to
+            for s, block in zip(b.column(0).to_pylist(), b.column(1)):
+                if s != now and held.size:
+                    yield row(now, *held.total())
+                now = s
+                held.take(block.as_py())
+        if held.size:
+            yield row(now, *held.total())
         trim()
 
+    def row(s: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        got = result(s, keys, counts)
+        return pa.RecordBatch.from_pylist([{c: got[c] for c in names}], schema=kind)
+
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     kind = to_arrow_schema(StructType.fromDDL(schema))
-    return blocks_.repartitionById(shards, F.col("shard")).mapInArrow(run, schema)
+    placed = blocks_.repartitionById(ranges, F.col("shard"))
+    if shards > ranges:
+        placed = placed.mapInArrow(_finer(shards), "shard int, block binary").sortWithinPartitions("shard")
+    return placed.mapInArrow(run, schema)

@@ -3,47 +3,100 @@
 Lines are normalised and hashed with their host. A line's frequency is the
 number of distinct documents of the host that have it; documents with the same
 text are one, so that copies don't turn each other's lines into boilerplate.
+
+Only hashes leave the scan: one row for each distinct line of a document. Lines
+are taken out where the text is, by their places, in one pass over each text.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.llm import names
+from kgloom.llm.counting import trim
 from kgloom.plans.durable import cut
 
 BROADCAST_LINES = 4_000_000
-_BLANK = r"[ \t\r\f]+"
+_BLANK = re.compile(r"[ \t\r\f]+")
+_SQUEEZE = re.compile(r"[\t\r\f]|  ")
+_RESULT = "struct<keep:boolean,text:string,length:int>"
+_ARROW = pa.struct([("keep", pa.bool_()), ("text", pa.string()), ("length", pa.int32())])
+
+
+def normal_lines(low: str) -> list[str]:
+    """The lines of a lower-cased text with blanks squeezed and trimmed."""
+    if _SQUEEZE.search(low):
+        low = _BLANK.sub(" ", low)
+    return [x.strip(" ") for x in low.split("\n")]
 
 
-def normal(line: Column) -> Column:
-    """Lower case, blanks squeezed and trimmed."""
-    return F.trim(F.regexp_replace(F.lower(line), _BLANK, " "))
+def host_seed(host: str | None) -> int:
+    """What tells a host's lines from another's; a null host is a host."""
+    return xxhash.xxh3_64_intdigest(b"" if host is None else b"h" + host.encode("utf-8", "surrogatepass"))
 
 
-def _keys(host: Column, text: Column) -> Column:
-    """The hash of each line with its host; null for a blank line."""
+def line_keys(lines: list[str], seed: int) -> np.ndarray:
+    """The hash of each line with its host as a signed 64-bit number; 0 for a blank line."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(x.encode(), seed) or 1 if x else 0 for x in lines], np.uint64).view(np.int64)
 
-    def key(line):
-        n = normal(line)
-        return F.when(n != "", F.xxhash64(host, n))
 
-    return F.transform(F.split(text, "\n"), key)
+def solid(text: str) -> int:
+    """The number of characters other than blanks and line ends."""
+    return len(text) - sum(map(text.count, " \t\r\f\n"))
+
+
+def _counted(batches):
+    """(host, doc, key) of each distinct line of each text, and once with key 0 of each text."""
+    for b in batches:
+        hosts, texts = b.column(0).to_pylist(), b.column(1)
+        host, doc, keys = [], [], []
+        for h, t, low in zip(hosts, texts, pc.utf8_lower(texts).to_pylist()):
+            seed = host_seed(h)
+            mine = np.unique(np.r_[np.int64(0), line_keys(normal_lines(low), seed)])
+            keys.append(mine)
+            host.append(np.full(len(mine), seed, np.uint64))
+            doc.append(np.full(len(mine), xxhash.xxh3_64_intdigest(t.as_buffer()), np.uint64))
+        if keys:
+            columns = [np.concatenate(host).view(np.int64), np.concatenate(doc).view(np.int64), np.concatenate(keys)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["host", "doc", "key"])
+    trim()
 
 
 def frequent_lines(docs: DataFrame, share: float, min_docs: int, text: str = "text", host: str = "source") -> DataFrame:
     """(key): host-line hashes in more than max(min_docs, share x documents of the host)."""
-    t, h = names.col(docs, text), names.col(docs, host)
-    rows = docs.where(t.isNotNull()).select(h.alias("host"), F.xxhash64(t).alias("doc"), F.array_compact(F.array_distinct(_keys(h, t))).alias("keys"))
-    # a null key counts the host's documents in the same pass
-    rows = rows.select("host", "doc", F.explode(F.concat(F.array(F.lit(None).cast("long")), "keys")).alias("key"))
-    counts = rows.groupBy("host", "key").agg(F.count_distinct("doc").alias("n"))
-    sizes = counts.where("key is null").select(F.col("host").alias("of"), F.col("n").alias("docs"))
-    lines = counts.where("key is not null").where(F.col("n") > min_docs)
-    return lines.join(sizes, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > share * F.col("docs")).select("key").distinct()
+    rows = docs.select(names.col(docs, host).cast("string").alias("host"), names.col(docs, text).alias("text")).where("text is not null")
+    counts = rows.mapInArrow(_counted, "host long, doc long, key long").groupBy("host", "key").agg(F.count_distinct("doc").alias("n"))
+    # key 0 counts the host's documents in the same pass
+    sizes = counts.where("key = 0").select(F.col("host").alias("of"), F.col("n").alias("docs"))
+    lines = counts.where("key <> 0").where(F.col("n") > min_docs)
+    return lines.join(sizes, F.col("host") == F.col("of")).where(F.col("n") > share * F.col("docs")).select("key").distinct()
+
+
+def _rest(hosts: pa.Array, texts: pa.Array, keep_share: float, hits) -> pa.Array:
+    """For each text whether it stays, and its new text and length where a line goes; ``hits(i, keys)`` tells which lines go."""
+    keep, new, length = np.zeros(len(texts), bool), [None] * len(texts), [None] * len(texts)
+    lows = pc.utf8_lower(texts)
+    for i, (h, t, low) in enumerate(zip(hosts.to_pylist(), texts.to_pylist(), lows.to_pylist())):
+        if t is None or not (before := solid(t)):
+            continue
+        gone = hits(i, line_keys(normal_lines(low), host_seed(h)))
+        if gone.any():
+            rest = "\n".join([x for x, g in zip(t.split("\n"), gone.tolist()) if not g])
+            left = solid(rest)
+            keep[i] = left > 0 and left >= keep_share * before
+            if keep[i]:
+                new[i], length[i] = rest, len(rest)
+        else:
+            keep[i] = True
+    return pa.StructArray.from_arrays([pa.array(keep), pa.array(new, pa.string()), pa.array(length, pa.int32())], fields=list(_ARROW))
 
 
 def remove_frequent_lines(
@@ -65,61 +118,59 @@ def remove_frequent_lines(
 
     Null, empty and blank texts have nothing to keep and are rejected. A null
     host is a host of its own. Blank lines are neither counted nor removed.
-    Repeated rows stay, each with the same result. An empty table gives no rows.
+    Repeated rows stay, each with the same result. Texts of any number of lines
+    take time in proportion. An empty table gives no rows.
 
     Up to ``broadcast_lines`` hashes of frequent lines (8 bytes each) are sent
     to the scan; beyond, the lines are joined by a shuffle, to the same result.
     """
     cols = docs.columns
     find = {c.lower(): c for c in cols}
-    t, h = names.col(docs, text), names.col(docs, host)
+    t, h = names.col(docs, text), names.col(docs, host).cast("string")
     frequent = cut(frequent_lines(docs, share, min_docs, text, host))
-    n = frequent.count()
-    rows = docs.select(names.carried(docs), t.alias("t"), h.alias("h")).where(F.col("t").isNotNull())
-    if n <= broadcast_lines:
-        keys = np.sort(frequent.toArrow().column(0).to_numpy())
-        held = docs.sparkSession.sparkContext.broadcast(keys)
-
-        @F.arrow_udf("array<int>")
-        def dropped(lines: pa.Array) -> pa.Array:
+    rows = docs.select(names.carried(docs), t.alias("t"), h.alias("h")).where("t is not null")
+    if frequent.count() <= broadcast_lines:
+        held = docs.sparkSession.sparkContext.broadcast(np.sort(frequent.toArrow().column(0).to_numpy()))
+
+        @F.arrow_udf(_RESULT)
+        def rest(hosts: pa.Array, texts: pa.Array) -> pa.Array:
             known = held.value
-            ends = lines.offsets.to_numpy()
-            flat = lines.values.slice(ends[0], ends[-1] - ends[0])
-            value = flat.fill_null(0).to_numpy(zero_copy_only=False)
-            at = np.searchsorted(known, value)
-            hit = np.zeros(len(value), bool)
-            inside = at < len(known)
-            hit[inside] = known[at[inside]] == value[inside]
-            if flat.null_count:
-                hit &= flat.is_valid().to_numpy(zero_copy_only=False)
-            where = np.flatnonzero(hit)
-            ends = ends - ends[0]
-            row = np.searchsorted(ends, where, "right") - 1
-            offsets = np.searchsorted(where, ends).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array((where - ends[row]).astype(np.int32)))
-
-        rows = rows.withColumn("drop", dropped(_keys(F.col("h"), F.col("t"))))
+
+            def hits(i: int, keys: np.ndarray) -> np.ndarray:
+                if not len(known):
+                    return np.zeros(len(keys), bool)
+                at = np.searchsorted(known, keys)
+                at[at == len(known)] = 0
+                return known[at] == keys
+
+            return _rest(hosts, texts, keep_share, hits)
+
+        rows = rows.withColumn("r", rest("h", "t"))
     else:
-        rows = rows.withColumn("line_keys", _keys(F.col("h"), F.col("t"))).withColumn("d", F.xxhash64("t", "h"))
-        hits = rows.select("d", F.explode(F.array_distinct("line_keys")).alias("key")).where("key is not null").distinct()
-        hits = hits.join(frequent, "key").groupBy("d").agg(F.collect_list("key").alias("bad"))
-        rows = rows.join(hits, "d", "left")
-        places = F.transform("line_keys", lambda k, i: F.when(F.array_contains("bad", k), i))
-        rows = rows.withColumn("drop", F.when(F.col("bad").isNull(), F.array().cast("array<int>")).otherwise(F.array_compact(places)))
-    rest = F.array_join(F.filter(F.split("t", "\n"), lambda _, i: ~F.array_contains("drop", i)), "\n")
-    rows = rows.withColumn("new", F.when(F.size("drop") > 0, rest).otherwise(F.col("t")))
-
-    def solid(c):
-        return F.length(F.regexp_replace(c, r"[ \t\r\f\n]+", ""))
-
-    kept = F.when(F.size("drop") > 0, (solid("new") > 0) & (solid("new") >= keep_share * solid("t"))).otherwise(F.regexp_like("t", F.lit(r"[^ \t\r\f\n]")))
-    rows = rows.where(kept)
+        rows = rows.withColumn("d", F.xxhash64("t", "h"))
+
+        def keyed(batches):
+            for b in batches:
+                lows = pc.utf8_lower(b.column(2)).to_pylist()
+                keys = [np.unique(line_keys(normal_lines(low), host_seed(x))) for low, x in zip(lows, b.column(1).to_pylist())]
+                size = np.array([len(k) for k in keys], np.int64)
+                if len(size):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(size)), size))), pa.array(np.concatenate(keys))], ["d", "key"])
+
+        hits_ = rows.select("d", "h", "t").mapInArrow(keyed, "d long, key long").distinct().join(frequent, "key").groupBy("d").agg(F.collect_list("key").alias("bad"))
+
+        @F.arrow_udf(_RESULT)
+        def rest(hosts: pa.Array, texts: pa.Array, bad: pa.Array) -> pa.Array:
+            return _rest(hosts, texts, keep_share, lambda i, keys: np.isin(keys, np.array(bad[i].as_py() or [], np.int64)))
+
+        rows = rows.join(hits_, "d", "left").withColumn("r", rest("h", "t", "bad"))
+    rows = rows.where("r.keep")
     out = []
     for c in cols:
         if c == find[text.lower()]:
-            out.append(F.col("new").alias(c))
+            out.append(F.coalesce("r.text", "t").alias(c))
         elif c == find.get(length.lower()):
-            out.append(F.when(F.size("drop") > 0, F.length("new")).otherwise(F.col("_row")[c]).cast(docs.schema[c].dataType).alias(c))
+            out.append(F.coalesce(F.col("r.length").cast(docs.schema[c].dataType), F.col("_row")[c]).alias(c))
         else:
             out.append(F.col("_row")[c].alias(c))
     return rows.select(*out)

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from kgloom.llm import quality
@@ -24,3 +25,23 @@ def test_against_plain_rules(spark, limit):
     assert sorted(((r.doc_id, r.text, r.source, r.n_chars) for r in got.collect()), key=repr) == sorted(((d["doc_id"], d["text"], d["source"], d["n_chars"]) for d in want), key=repr)
     assert not any(r.doc_id in (100, 101, 102) for r in got.collect())
     assert quality.remove_frequent_lines(df.where("false")).count() == 0
+
+
+def test_lines_are_lowered_as_in_sql_and_long_texts_take_their_time(spark):
+    import time
+
+    import pyarrow as pa
+
+    assert quality.normal_lines("a  b\t c \n\n x") == ["a b c", "", "x"]
+    assert quality.solid(" a\tb\n\r\fc ") == 3
+    many = "\n".join(f"line {i % 2 and i}" for i in range(64_000))
+    known = set(quality.line_keys(["line 0"], quality.host_seed("h")).tolist())
+    t = time.time()
+    got = quality._rest(pa.array(["h"] * 2), pa.array([many, None]), 0.1, lambda i, k: np.isin(k, list(known))).to_pylist()
+    assert time.time() - t < 2
+    assert got[0]["text"] == "\n".join(x for x in many.split("\n") if x != "line 0") and got[0]["length"] == len(got[0]["text"]) and not got[1]["keep"]
+
+
+def test_hosts_and_nulls_have_keys_of_their_own():
+    a, b, c = (quality.line_keys(["x", ""], quality.host_seed(h)).tolist() for h in ("h", "", None))
+    assert len({a[0], b[0], c[0]}) == 3 and a[1] == b[1] == c[1] == 0

@@ -25,14 +25,13 @@ from kgloom.plans.durable import cut
 
 BROADCAST_LINES = 4_000_000
 _BLANK = re.compile(r"[ \t\r\f]+")
-_SQUEEZE = re.compile(r"[\t\r\f]|  ")
 _RESULT = "struct<keep:boolean,text:string,length:int>"
 _ARROW = pa.struct([("keep", pa.bool_()), ("text", pa.string()), ("length", pa.int32())])
 
 
 def normal_lines(low: str) -> list[str]:
     """The lines of a lower-cased text with blanks squeezed and trimmed."""
-    if _SQUEEZE.search(low):
+    if "  " in low or "\t" in low or "\r" in low or "\f" in low:
         low = _BLANK.sub(" ", low)
     return [x.strip(" ") for x in low.split("\n")]
 
@@ -74,9 +73,10 @@ def frequent_lines(docs: DataFrame, share: float, min_docs: int, text: str = "te
     """(key): host-line hashes in more than max(min_docs, share x documents of the host)."""
     rows = docs.select(names.col(docs, host).cast("string").alias("host"), names.col(docs, text).alias("text")).where("text is not null")
     counts = rows.mapInArrow(_counted, "host long, doc long, key long").groupBy("host", "key").agg(F.count_distinct("doc").alias("n"))
-    # key 0 counts the host's documents in the same pass
+    # key 0 counts the host's documents in the same pass; what is left after the limit is few
+    counts = cut(counts.where((F.col("key") == 0) | (F.col("n") > min_docs)))
     sizes = counts.where("key = 0").select(F.col("host").alias("of"), F.col("n").alias("docs"))
-    lines = counts.where("key <> 0").where(F.col("n") > min_docs)
+    lines = counts.where("key <> 0")
     return lines.join(sizes, F.col("host") == F.col("of")).where(F.col("n") > share * F.col("docs")).select("key").distinct()
 
 

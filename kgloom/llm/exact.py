@@ -1,11 +1,15 @@
 """Exact deduplication through a cuckoo-filter index of text digests.
 
-Only (digest, id) pairs are shuffled at first. Each task keeps a cuckoo filter
-over its range of digests: a digest that misses is inserted, one that hits and
-matches the stored key is a repeat. Then the digests that came once are deleted,
-so that the filter is left with the repeated ones. These small filters go to the
-scan, where texts that miss are known to be unique and never move; texts that
-hit are bucketed by digest and verified against each other's content.
+Digests alone are shuffled at first. Each task runs those of its rows through a
+cuckoo filter: one that misses is inserted, one that hits has come before. So a
+digest leaves the task once, however many copies it stands for, with the word
+whether it hit. A second filter over each range of digests takes these in; what
+hits there, or has hit before, is repeated, and the digests that came once are
+deleted from it again. The filters grow from their stored keys.
+
+The repeated digests go to the scan as one filter, where texts that miss are
+known to be unique and never move; texts that hit are bucketed by digest and
+verified against each other's content.
 """
 
 from __future__ import annotations
@@ -151,8 +155,8 @@ class ExactIndex:
     """A live index of texts: digests in a cuckoo filter, content in buckets.
 
     ``add`` returns the key under which an equal text is already held, or None
-    after taking the text in; ``remove`` forgets a text. Serves increments of a
-    shard; ``repeated_digests`` is the same over a whole corpus.
+    after taking the text in; ``remove`` forgets a text. For increments of a
+    shard; over a whole corpus ``repeated_digests`` does the same in bulk.
     """
 
     def __init__(self, digest):
@@ -182,29 +186,38 @@ class ExactIndex:
         return True
 
 
+def _seen(batches):
+    """One task's digests, each once, and whether it came more than once."""
+    index, again = CuckooFilter(1 << 12), [np.zeros(0, U)]
+    for b in batches:
+        d = b.column(0).to_numpy().view(U)
+        again.append(np.unique(d[~index.insert(d)]))
+    live = index.live()
+    yield pa.RecordBatch.from_arrays([pa.array(live.view(np.int64)), pa.array(np.isin(live, np.concatenate(again)))], ["digest", "again"])
+
+
 def _repeats(batches):
-    """One task's digests through a filter that ends up with the repeated ones."""
-    index = CuckooFilter(1 << 12)
-    again = np.zeros(0, U)
+    """One range's digests through a filter that ends up with the repeated ones."""
+    index, again = CuckooFilter(1 << 12), [np.zeros(0, U)]
     for b in batches:
         d = b.column(0).to_numpy().view(U)
-        many = b.column(1).to_numpy() > 1
-        new = index.insert(d)
-        again = np.union1d(again, d[~new | many])
+        hit = ~index.insert(d) | b.column(1).to_numpy(zero_copy_only=False)
+        again.append(np.unique(d[hit]))
     live = index.live()
-    index.delete(live[~np.isin(live, again)])
+    index.delete(live[~np.isin(live, np.concatenate(again))])
     yield pa.RecordBatch.from_arrays([pa.array(index.live().view(np.int64))], ["digest"])
 
 
 def repeated_digests(docs: DataFrame, text: str = "text") -> DataFrame:
     """(digest): the 64-bit digests that occur in more than one row."""
-    counts = docs.select(F.xxhash64(names.col(docs, text)).alias("digest")).groupBy("digest").agg(F.count("*").alias("n"))
-    return counts.mapInArrow(_repeats, "digest long")
+    rows = docs.select(F.xxhash64(names.col(docs, text)).alias("digest"))
+    return rows.mapInArrow(_seen, "digest long, again boolean").repartition("digest").mapInArrow(_repeats, "digest long")
 
 
 def _split(docs: DataFrame, text: str, broadcast_mb: float) -> tuple[DataFrame, DataFrame]:
-    """(rows that are surely unique, rows to verify); rows are (d, t, _row)."""
-    rows = docs.select(F.xxhash64(names.col(docs, text)).alias("d"), names.col(docs, text).alias("t"), names.carried(docs))
+    """(rows that are surely unique, rows to verify); rows are (d, t, _row), with the text in t alone."""
+    t = names.col(docs, text)
+    rows = docs.select(F.xxhash64(t).alias("d"), t.alias("t"), F.struct(*[docs[f"`{c}`"] for c in docs.columns if c.lower() != text.lower()]).alias("_row"))
     repeated = cut(repeated_digests(docs, text))
     n = repeated.count()
     if n * 12 / 1e6 > broadcast_mb:  # 10 bytes a slot at a load of about 0.85
@@ -252,11 +265,14 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bro
     """The documents with one row per text: that of the smallest id, all columns.
 
     A null id counts as larger than any; rows that still tie go by their other
-    columns' hash. Columns and their types stay as they are.
+    columns' hash. Null texts are equal to each other, and so are empty ones.
+    Columns and their types stay as they are; an empty table gives no rows.
+    Texts pass a shuffle once, and only those whose digest is repeated.
     """
+    names.col(docs, doc_id)
     unique, suspects = _split(docs, text, broadcast_mb)
     place = next(c for c in docs.columns if c.lower() == doc_id.lower())
     rank = F.struct(F.col("_row")[place].isNull().alias("a"), F.col("_row")[place].alias("b"), F.xxhash64(F.to_json("_row")).alias("c"))
     first = suspects.groupBy("d", "t").agg(F.min_by("_row", rank).alias("_row"))
-    cols = docs.columns
-    return unique.select(*names.unpacked(unique, cols)).unionByName(first.select(*names.unpacked(first, cols)))
+    cols = [F.col("t").alias(c) if c.lower() == text.lower() else F.col("_row")[c].alias(c) for c in docs.columns]
+    return unique.select(*cols).unionByName(first.select(*cols))

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kgloom.llm import exact
 from tests.llm.brute import one_of_each_text
@@ -46,3 +47,18 @@ def test_equal_digests_of_unequal_texts_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(exact.F, "xxhash64", lambda *c: F.length(F.coalesce(c[0] if not isinstance(c[0], str) else F.col(c[0]), F.lit("???"))).cast("long"))
     df = spark.createDataFrame([(1, "ab"), (2, "cd"), (3, "ab"), (4, "cd"), (5, None), (6, "xyz"), (7, None)], "doc_id long, text string")
     assert sorted(tuple(r) for r in exact.exact_duplicates(df).collect()) == [(3, 1), (4, 2), (7, 5)]
+
+
+def test_filters_find_what_a_count_finds(spark):
+    texts = [f"t{i % 700}" if i % 3 else "hot" for i in range(3000)] + [f"once {i}" for i in range(500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    got = sorted(r.digest for r in exact.repeated_digests(df).collect())
+    want = sorted(r.d for r in df.groupBy(F.xxhash64("text").alias("d")).count().where("count > 1").collect())
+    assert got == want and len(got) == len(set(got))
+
+
+def test_missing_columns_are_named(spark):
+    df = spark.createDataFrame([(1, "a")], "id long, text string")
+    for f in (exact.exact_dedup, exact.exact_duplicates):
+        with pytest.raises(ValueError):
+            f(df).collect()

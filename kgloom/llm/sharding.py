@@ -11,7 +11,11 @@ their shard.
 
 A shard larger than ``part_rows`` is drawn as several parts of exact sizes, each
 permuted by a task of its own; since the parts' rows are uniform too, so is the
-shard's order, one part after another.
+shard's order, one part after another. The number of parts follows the number of
+rows, so a larger table is another draw.
+
+The seed and the blocks' rows determine the result: blocks count by the order of
+their files' names, and neither names nor folders enter the draw.
 """
 
 from __future__ import annotations
@@ -96,7 +100,7 @@ def even(total: int, parts: int) -> np.ndarray:
     return out
 
 
-def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 0, block_rows: int = 1 << 18, part_rows: int = 1 << 17) -> DataFrame:
+def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 0, block_rows: int = 1 << 18, part_rows: int = 1 << 15) -> DataFrame:
     """All rows with their ``shard`` (from 0) and ``shard_position`` (from 0).
 
     Shard sizes differ by at most one, the larger ones first. Blocks are the
@@ -141,22 +145,24 @@ def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 0, block_rows:
             drawn[seed, i] = np.random.default_rng([seed, 1, i]).permutation(int(n[i])), np.cumsum(matrix_row(n, p, i, seed))
         return drawn[seed, i]
 
-    @F.arrow_udf("int")
+    @F.arrow_udf("struct<part:int,block:int>")
     def part_of(f: pa.Array, b: pa.Array, row: pa.Array) -> pa.Array:
         number = held.value[0]
         f = f.dictionary_encode()
         code, b, row = f.indices.to_numpy(), b.to_numpy(), row.to_numpy()
-        result = np.zeros(len(b), np.int32)
+        result, block = np.zeros(len(b), np.int32), np.zeros(len(b), np.int32)
         for c, k in {*zip(code.tolist(), b.tolist())}:
             mine = (code == c) & (b == k)
-            order, ends = draw(number[f.dictionary[c].as_py(), k])
+            block[mine] = i = number[f.dictionary[c].as_py(), k]
+            order, ends = draw(i)
             result[mine] = np.searchsorted(ends, order[row[mine] % block_rows], "right")
-        return pa.array(result)
+        return pa.StructArray.from_arrays([pa.array(result), pa.array(block)], ["part", "block"])
 
     placed = docs.select(*[docs[f"`{c}`"] for c in out], *[c.alias(n) for c, n in zip(where, ("_kg_file", "_kg_row"))])
-    placed = placed.withColumn("_kg_part", part_of("_kg_file", F.floor(F.col("_kg_row") / block_rows).cast("long"), "_kg_row"))
-    again = F.xxhash64(F.lit(seed), F.col("_kg_file"), F.col("_kg_row"))
-    rank = F.row_number().over(Window.partitionBy("_kg_part").orderBy(again, "_kg_file", "_kg_row")) - 1
+    placed = placed.withColumn("_kg_at", part_of("_kg_file", F.floor(F.col("_kg_row") / block_rows).cast("long"), "_kg_row"))
+    placed = placed.select(*[placed[f"`{c}`"] for c in out], F.col("_kg_at.part").alias("_kg_part"), F.col("_kg_at.block").alias("_kg_block"), "_kg_row")
+    again = F.xxhash64(F.lit(seed), F.col("_kg_block"), F.col("_kg_row"))
+    rank = F.row_number().over(Window.partitionBy("_kg_part").orderBy(again, "_kg_block", "_kg_row")) - 1
     if parts > 1:
         start = F.broadcast(spark.createDataFrame([(i, int(n)) for i, n in enumerate(before)], "_kg_part int, _kg_start long"))
         placed = placed.withColumn("_kg_rank", rank).join(start, "_kg_part")

@@ -97,20 +97,22 @@ def _plan(roles: pa.Array) -> pa.Array:
     return pa.array(out, _ARROW)
 
 
-def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", joiner: str = "\n") -> DataFrame:
+def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", joiner: str = "\n", drop_repeats: bool = False) -> DataFrame:
     """(conv_id, repair_cost, n_turns, rendered) of every conversation.
 
     Turns go by number; equal numbers, and null ones (first), by role and text.
-    Equal rows of a conversation are one. A null or unknown role may take any
+    Repeated rows are turns like others, unless ``drop_repeats`` makes equal rows
+    of a conversation one. A null or unknown role may take any
     role for little; a null text is an empty one and texts merge with a line
     break. Rows without conv_id belong to no conversation and are left out.
     Other columns are ignored; an empty table gives no rows. Texts are rendered
-    whole; only the role lists leave the JVM.
+    whole; only the role lists leave the JVM. A conversation is one row of the
+    result, and so one task's work.
     """
     rows = turns.select(
         names.col(turns, conv_id).alias("conv_id"), F.struct(names.col(turns, turn).alias("turn"), names.col(turns, role).cast("string").alias("role"), F.coalesce(names.col(turns, text), F.lit("")).alias("text")).alias("x")
     ).where("conv_id is not null")
-    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_set("x")).alias("x"))
+    convs = rows.groupBy("conv_id").agg(F.sort_array((F.collect_set if drop_repeats else F.collect_list)("x")).alias("x"))
     convs = convs.withColumn("plan", F.arrow_udf(_plan, _PLAN)(F.transform("x", lambda x: x["role"])))
     body = F.transform(
         "plan.turns",

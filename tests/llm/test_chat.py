@@ -48,16 +48,20 @@ def test_rendering(spark):
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, rendered int")
     got = {r.conv_id: r for r in chat.format_chats(df).collect()}
     assert sorted(got) == [1, 2, 3, 4]
-    assert got[1].rendered == "<|user|>\nhi\nthere<|end|>\n<|assistant|>\nyes<|end|>\n" and got[1].repair_cost == chat.MERGE
+    assert got[1].rendered == "<|user|>\nhi\nthere<|end|>\n<|assistant|>\nyes\nyes<|end|>\n" and got[1].repair_cost == 2 * chat.MERGE
     assert got[2].rendered == "<|user|>\n<|end|>\n<|assistant|>\na<|end|>\n" and got[2].repair_cost == chat.INSERT
     assert got[3].n_turns == 2 and got[3].repair_cost == chat.UNKNOWN and "x" * 100_000 in got[4].rendered
     assert chat.format_chats(df.where("false")).count() == 0
+    once = {r.conv_id: r for r in chat.format_chats(df, drop_repeats=True).collect()}
+    assert once[1].rendered == "<|user|>\nhi\nthere<|end|>\n<|assistant|>\nyes<|end|>\n" and once[1].repair_cost == chat.MERGE
+    twice = spark.createDataFrame([(1, None, "user", "a"), (1, None, "user", "a")], "conv_id long, turn long, role string, text string")
+    assert chat.format_chats(twice).first().rendered == "<|user|>\na\na<|end|>\n<|assistant|>\n<|end|>\n"
 
 
 def test_whole_table_keeps_every_text(spark, sf):
     t = spark.read.parquet(f"{sf}/conversations.parquet")
     by = {}
-    for r in t.distinct().collect():
+    for r in t.collect():
         by.setdefault(r.conv_id, []).append((r.turn, r.role or "", r.text or "", r.role))
     for r in chat.format_chats(t).collect():
         turns = sorted(by[r.conv_id], key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))

@@ -5,9 +5,10 @@ squared lengths of its pieces). A text longer than a bin can hold is cut into
 pieces, none of it is dropped. Pieces, longest first, go to the open bin that
 has room under every constraint and scores best, or else open a new bin.
 
-Pieces are dealt to groups by a hash of the id, about ``group_pieces`` to a
-group, and each group is packed on its own; only ids and lengths move. What a
-group wastes is its last few bins.
+Pieces are dealt to groups by a hash, about ``group_pieces`` documents to a
+group, and each group is packed on its own, in lanes of at most ``group_pieces``
+pieces, so that a task's time grows with its pieces and not with their square;
+only ids and lengths move. What a lane wastes is its last few bins.
 """
 
 from __future__ import annotations
@@ -83,7 +84,8 @@ def pack(
     """(doc_id, piece, start_token, n_tokens, bin_group, bin, bin_position) of every piece.
 
     ``tokens``: the token count of a row; by default ``word_tokens``. Pieces are
-    as long as both the token and the attention capacity allow. A null, empty or
+    as long as both the token and the attention capacity allow, with the default
+    capacities 1,448 tokens, the root of the attention capacity. A null, empty or
     blank text has no tokens and no piece. Rows with a null id are packed, with
     a null id in the result; repeated rows are packed each. Ties between equally
     long pieces go by id and piece. Other columns are ignored; an empty table
@@ -98,11 +100,16 @@ def pack(
     pieces = pieces.select("doc_id", "piece", (F.col("piece") * longest).alias("start_token"), F.least(F.lit(longest).cast("long"), F.col("n") - F.col("piece") * longest).alias("n_tokens"))
     # as many groups as the rows ask for; the count reads no column
     groups = max(1, math.ceil(docs.count() / group_pieces))
-    pieces = pieces.withColumn("bin_group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    pieces = pieces.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(groups)))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        pdf["bin"] = best_fit(pdf["n_tokens"].to_numpy(), bin_tokens, bin_docs, bin_attention, score, weights)
+        lanes, length, opened = -(-len(pdf) // group_pieces), pdf["n_tokens"].to_numpy(), 0
+        bins = np.empty(len(pdf), np.int64)
+        for k in range(lanes):  # every lanes-th piece, so that lanes are alike
+            mine = best_fit(length[k::lanes], bin_tokens, bin_docs, bin_attention, score, weights) + opened
+            bins[k::lanes], opened = mine, int(mine.max()) + 1
+        pdf["bin"] = bins
         pdf["bin_position"] = pdf.groupby("bin").cumcount()
         return pdf
 

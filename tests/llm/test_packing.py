@@ -50,3 +50,24 @@ def test_edges(spark):
     with pytest.raises(ValueError):
         packing.pack(df, bin_docs=0)
     assert packing.pack(df, score="norm").count() == len(rows)
+
+
+def test_long_texts_null_ids_and_lanes(spark):
+    df = spark.createDataFrame([(i, "w " * n) for i, n in enumerate([60_000, 1, 1448, 1449, 0, 30])] + [(None, "x " * (1 + i % 7)) for i in range(300)], "doc_id long, text string")
+    rows = packing.pack(df, group_pieces=50).collect()
+    by_bin = defaultdict(list)
+    for r in rows:
+        by_bin[r.bin_group, r.bin].append(r)
+    for held in by_bin.values():
+        assert sum(r.n_tokens for r in held) <= packing.BIN_TOKENS and len(held) <= packing.BIN_DOCS and sum(r.n_tokens**2 for r in held) <= packing.BIN_ATTENTION
+        assert sorted(r.bin_position for r in held) == list(range(len(held)))
+    assert sum(r.doc_id is None for r in rows) == 300 and len({r.bin_group for r in rows if r.doc_id is None}) > 3
+    assert sum(r.n_tokens for r in rows if r.doc_id == 0) == 60_000
+
+
+def test_time_grows_with_the_pieces():
+    import time
+
+    t = time.time()
+    packing.best_fit(np.sort(np.random.default_rng(1).integers(1, 1448, 8192))[::-1], packing.BIN_TOKENS, packing.BIN_DOCS, packing.BIN_ATTENTION)
+    assert time.time() - t < 10

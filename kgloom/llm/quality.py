@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from kgloom.llm import names
 from kgloom.llm.counting import trim
+from kgloom.llm.words import buffers, doc_groups
 from kgloom.plans.durable import cut
 
 BROADCAST_LINES = 4_000_000
@@ -52,17 +53,23 @@ def solid(text: str) -> int:
     return len(text) - sum(map(text.count, " \t\r\f\n"))
 
 
+def _slices(hosts: pa.Array, texts: pa.Array):
+    """Parts of both of about a megabyte of text, so that little is held as Python strings at a time."""
+    for i, j in doc_groups(buffers(texts)[1]):
+        yield hosts.slice(i, j - i), texts.slice(i, j - i)
+
+
 def _counted(batches):
     """(host, doc, key) of each distinct line of each text, and once with key 0 of each text."""
     for b in batches:
-        hosts, texts = b.column(0).to_pylist(), b.column(1)
         host, doc, keys = [], [], []
-        for h, t, low in zip(hosts, texts, pc.utf8_lower(texts).to_pylist()):
-            seed = host_seed(h)
-            mine = np.unique(np.r_[np.int64(0), line_keys(normal_lines(low), seed)])
-            keys.append(mine)
-            host.append(np.full(len(mine), seed, np.uint64))
-            doc.append(np.full(len(mine), xxhash.xxh3_64_intdigest(t.as_buffer()), np.uint64))
+        for hosts, texts in _slices(b.column(0), b.column(1)):
+            for h, t, low in zip(hosts.to_pylist(), texts, pc.utf8_lower(texts).to_pylist()):
+                seed = host_seed(h)
+                mine = np.unique(np.r_[np.int64(0), line_keys(normal_lines(low), seed)])
+                keys.append(mine)
+                host.append(np.full(len(mine), seed, np.uint64))
+                doc.append(np.full(len(mine), xxhash.xxh3_64_intdigest(t.as_buffer()), np.uint64))
         if keys:
             columns = [np.concatenate(host).view(np.int64), np.concatenate(doc).view(np.int64), np.concatenate(keys)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["host", "doc", "key"])
@@ -82,21 +89,24 @@ def frequent_lines(docs: DataFrame, share: float, min_docs: int, text: str = "te
 
 def _rest(hosts: pa.Array, texts: pa.Array, keep_share: float, hits) -> pa.Array:
     """For each text whether it stays, and its new text and length where a line goes; ``hits(i, keys)`` tells which lines go."""
-    keep, new, length = np.zeros(len(texts), bool), [None] * len(texts), [None] * len(texts)
-    lows = pc.utf8_lower(texts)
-    for i, (h, t, low) in enumerate(zip(hosts.to_pylist(), texts.to_pylist(), lows.to_pylist())):
-        if t is None or not (before := solid(t)):
-            continue
-        gone = hits(i, line_keys(normal_lines(low), host_seed(h)))
-        if gone.any():
-            rest = "\n".join([x for x, g in zip(t.split("\n"), gone.tolist()) if not g])
-            left = solid(rest)
-            keep[i] = left > 0 and left >= keep_share * before
-            if keep[i]:
-                new[i], length[i] = rest, len(rest)
-        else:
-            keep[i] = True
-    return pa.StructArray.from_arrays([pa.array(keep), pa.array(new, pa.string()), pa.array(length, pa.int32())], fields=list(_ARROW))
+    parts, n = [pa.array([], _ARROW)], 0
+    for host, text in _slices(hosts, texts):
+        keep, new, length = np.zeros(len(text), bool), [None] * len(text), [None] * len(text)
+        for i, (h, t, low) in enumerate(zip(host.to_pylist(), text.to_pylist(), pc.utf8_lower(text).to_pylist())):
+            if t is None or not (before := solid(t)):
+                continue
+            gone = hits(n + i, line_keys(normal_lines(low), host_seed(h)))
+            if gone.any():
+                rest = "\n".join([x for x, g in zip(t.split("\n"), gone.tolist()) if not g])
+                left = solid(rest)
+                keep[i] = left > 0 and left >= keep_share * before
+                if keep[i]:
+                    new[i], length[i] = rest, len(rest)
+            else:
+                keep[i] = True
+        n += len(text)
+        parts.append(pa.StructArray.from_arrays([pa.array(keep), pa.array(new, pa.string()), pa.array(length, pa.int32())], fields=list(_ARROW)))
+    return pa.concat_arrays(parts)
 
 
 def remove_frequent_lines(

@@ -17,12 +17,15 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.llm import names
+from kgloom.plans.durable import written
 
 BIN_TOKENS, BIN_DOCS, BIN_ATTENTION = 2048, 16, 2048 * 2048 // 2
+GROUP_PIECES = 8192
 
 
 def word_tokens(text: Column) -> Column:
@@ -69,6 +72,20 @@ def best_fit(lengths: np.ndarray, tokens: int, docs: int, attention: int, score:
     return out
 
 
+def _runs(docs: DataFrame, size: int) -> tuple[DataFrame, Column]:
+    """(``docs`` as a file scan, the number of each row's run of ``size`` rows, in the order of the files' names)."""
+    try:
+        files = docs.select(F.col("_metadata.file_path").alias("f")).distinct().collect()
+    except AnalysisException:  # not a file scan: there is no _metadata
+        docs = written(docs, "pack-input")
+        files = docs.select(F.col("_metadata.file_path").alias("f")).distinct().collect()
+    # a file's runs are numbered from its place among the files; no file has 2^24 runs
+    order = docs.sparkSession.createDataFrame([(r.f, i) for i, r in enumerate(sorted(files))], "_pack_file string, _pack_order long")
+    docs = docs.select("*", F.col("_metadata.file_path").alias("_pack_at"), F.floor(F.col("_metadata.row_index") / size).cast("long").alias("_pack_run"))
+    docs = docs.join(F.broadcast(order), F.col("_pack_at") == F.col("_pack_file"))
+    return docs, F.shiftleft("_pack_order", 24) + F.col("_pack_run")
+
+
 def pack(
     docs: DataFrame,
     bin_tokens: int = BIN_TOKENS,
@@ -77,9 +94,10 @@ def pack(
     score: str = "dot",
     weights=(1.0, 1.0, 1.0),
     tokens: Column | None = None,
-    group_pieces: int = 8192,
+    group_pieces: int | None = None,
     text: str = "text",
     doc_id: str = "doc_id",
+    in_order: bool = False,
 ) -> DataFrame:
     """(doc_id, piece, start_token, n_tokens, bin_group, bin, bin_position) of every piece.
 
@@ -90,17 +108,26 @@ def pack(
     a null id in the result; repeated rows are packed each. Ties between equally
     long pieces go by id and piece. Other columns are ignored; an empty table
     gives no rows.
+
+    With ``in_order`` the groups are runs of ``group_pieces`` rows as they lie in
+    the table's files, numbered in the order of the files' names, so that bins of
+    successive groups follow the order of the documents; a DataFrame that doesn't
+    read files is first written to the shared folder.
     """
     if min(bin_tokens, bin_docs, bin_attention) < 1:
         raise ValueError("capacities must be positive")
     longest = min(bin_tokens, math.isqrt(bin_attention))
+    group_pieces = group_pieces or GROUP_PIECES
+    group = F.lit(None).cast("long")
+    if in_order:
+        docs, group = _runs(docs, group_pieces)
     n = tokens if tokens is not None else word_tokens(names.col(docs, text))
-    rows = docs.select(names.col(docs, doc_id).cast("long").alias("doc_id"), n.cast("long").alias("n")).where("n > 0")
-    pieces = rows.select("doc_id", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / longest).cast("long"))).alias("at", "piece"))
-    pieces = pieces.select("doc_id", "piece", (F.col("piece") * longest).alias("start_token"), F.least(F.lit(longest).cast("long"), F.col("n") - F.col("piece") * longest).alias("n_tokens"))
+    rows = docs.select(names.col(docs, doc_id).cast("long").alias("doc_id"), n.cast("long").alias("n"), group.alias("g")).where("n > 0")
+    pieces = rows.select("doc_id", "n", "g", F.posexplode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / longest).cast("long"))).alias("at", "piece"))
+    pieces = pieces.select("g", "doc_id", "piece", (F.col("piece") * longest).alias("start_token"), F.least(F.lit(longest).cast("long"), F.col("n") - F.col("piece") * longest).alias("n_tokens"))
     # as many groups as the rows ask for; the count reads no column
-    groups = max(1, math.ceil(docs.count() / group_pieces))
-    pieces = pieces.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(groups)))
+    groups = 1 if in_order else max(1, math.ceil(docs.count() / group_pieces))
+    pieces = pieces.withColumn("bin_group", F.coalesce("g", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(groups)))).drop("g")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)

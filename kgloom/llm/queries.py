@@ -78,26 +78,38 @@ def queries() -> dict:
 
 
 OP9_SQL = """
-WITH RECURSIVE weights(s, w) AS (VALUES ('src0', 5), ('src1', 5), ('src2', 5), ('src3', 5), ('*', 80)),
+WITH RECURSIVE weights(s, w) AS (VALUES ('src0', 5::BIGINT), ('src1', 5), ('src2', 5), ('src3', 5), ('*', 80)),
 docs AS (SELECT *, CASE WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN source ELSE '*' END AS s FROM documents),
-sizes AS (SELECT s, count(*) AS n FROM docs GROUP BY s),
-live AS (SELECT s, w, n FROM weights JOIN sizes USING (s)),
-total AS (SELECT sum(w)::BIGINT AS p FROM live),
--- one period: at each slot, of the blocks released so far, the one due first
-edf(t, pick, done) AS (
-  SELECT 0::BIGINT, NULL::VARCHAR, (SELECT map(list(s ORDER BY s), list(0::BIGINT ORDER BY s)) FROM live)
+have AS (SELECT s, w, n FROM weights JOIN (SELECT s, count(*) AS n FROM docs GROUP BY s) x USING (s)),
+-- a step fills one slot of a phase's period with the released block due first; the step after the last slot ends the phase
+-- where a source lacks its block, and starts another with the sources that have some left
+steps(phase, t, p, start, live, n, used, done, picks) AS (
+  SELECT 0, 0::BIGINT, sum(w)::BIGINT, 0::BIGINT, map(list(s ORDER BY s), list(w ORDER BY s)), map(list(s ORDER BY s), list(n ORDER BY s)),
+         map(list(s ORDER BY s), list(0::BIGINT ORDER BY s)), map(list(s ORDER BY s), list(0::BIGINT ORDER BY s)), []::VARCHAR[]
+  FROM have HAVING count(*) > 0
   UNION ALL
-  SELECT t + 1, c, map_from_entries(list_transform(map_entries(done), lambda e: {'k': e.key, 'v': e.value + CASE WHEN e.key = c THEN 1 ELSE 0 END}))
-  FROM (SELECT t, done, (SELECT l.s FROM live l, total
-                         WHERE done[l.s] < l.w AND (done[l.s] * p) // l.w <= t
-                         ORDER BY ((done[l.s] + 1) * p + l.w - 1) // l.w, l.s LIMIT 1) AS c
-        FROM edf, total WHERE t < p)),
-slots AS (SELECT t - 1 AS slot, pick AS s, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth FROM edf WHERE t > 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY md5('mix|' || coalesce(doc_id::VARCHAR, 'null'))) - 1 AS r FROM docs),
-ends AS (SELECT min((n // w) * p + slot) AS t FROM live JOIN slots USING (s), total WHERE nth = n % w)
-SELECT doc_id, text, lang, source, n_chars, s AS mix_source, (r // w) * p + slot AS mix_position
-FROM ranked JOIN live USING (s) JOIN slots USING (s), total, ends
-WHERE nth = r % w AND (r // w) * p + slot < ends.t
+  SELECT CASE WHEN going THEN phase ELSE phase + 1 END, CASE WHEN going THEN t + 1 ELSE 0 END, CASE WHEN going THEN p ELSE list_sum(map_values(rest))::BIGINT END,
+         CASE WHEN going THEN start ELSE start + slots END, rest, n, gone,
+         CASE WHEN going THEN map_from_entries(list_transform(map_entries(done), lambda e: {'k': e.key, 'v': e.value + CASE WHEN e.key = c THEN 1 ELSE 0 END}))
+              ELSE map_from_entries(list_transform(map_keys(rest), lambda s: {'k': s, 'v': 0::BIGINT})) END,
+         CASE WHEN going THEN list_append(picks, c) ELSE []::VARCHAR[] END
+  FROM (SELECT *, CASE WHEN going THEN live ELSE map_from_entries(list_filter(map_entries(live), lambda e: n[e.key] > gone[e.key])) END AS rest
+        FROM (SELECT *, CASE WHEN going THEN used ELSE map_from_entries(list_transform(map_entries(used), lambda e: {'k': e.key, 'v': e.value + CASE WHEN live[e.key] IS NULL THEN 0 ELSE
+                          (slots // p) * live[e.key] + len(list_filter(range(slots % p), lambda i: picks[i + 1] = e.key)) END})) END AS gone
+              FROM (SELECT *, t < p AS going,
+                           list_sort(list_transform(list_filter(map_keys(live), lambda s: done[s] < live[s] AND (done[s] * p) // live[s] <= t),
+                                                    lambda s: {'due': ((done[s] + 1) * p + live[s] - 1) // live[s], 's': s}))[1].s AS c,
+                           list_min(list_transform(map_keys(live), lambda s: ((n[s] - used[s]) // live[s]) * p
+                                                   + list_filter(range(p), lambda i: picks[i + 1] = s)[(n[s] - used[s]) % live[s] + 1])) AS slots
+                    FROM steps) a) b) c
+  WHERE len(map_keys(rest)) > 0),
+ends AS (SELECT *, list_min(list_transform(map_keys(live), lambda s: ((n[s] - used[s]) // live[s]) * p
+                                           + list_filter(range(p), lambda i: picks[i + 1] = s)[(n[s] - used[s]) % live[s] + 1])) AS slots FROM steps WHERE t = p),
+places AS (SELECT phase, start, slots, p, slot, picks[slot + 1] AS s, live[picks[slot + 1]] AS w, used[picks[slot + 1]] AS lo,
+                  row_number() OVER (PARTITION BY phase, picks[slot + 1] ORDER BY slot) - 1 AS nth FROM (SELECT *, unnest(range(p)) AS slot FROM ends) x),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY md5('mix|' || coalesce(doc_id::VARCHAR, 'null'))) - 1 AS r FROM docs)
+SELECT doc_id, text, lang, source, n_chars, s AS mix_source, (start + ((r - lo) // w) * p + slot)::BIGINT AS mix_position, phase AS mix_phase
+FROM ranked JOIN places USING (s) WHERE r >= lo AND nth = (r - lo) % w AND ((r - lo) // w) * p + slot < slots
 """
 
 

@@ -78,24 +78,28 @@ def near_groups(docs, radius=simhash.RADIUS):
     return {k: v for k, v in out.items() if k != v}
 
 
-def mixture(docs, weights, seed="mix"):
-    """(doc, source class, position) by drawing the schedule slot by slot."""
+def mixture(docs, weights, seed="mix", go_on=True):
+    """(doc, source class, position, phase) by drawing the schedule slot by slot."""
     cls = lambda d: d["source"] if d["source"] in weights and d["source"] != "*" else "*"
     queue = defaultdict(list)
     for d in docs:
         queue[cls(d)].append(d)
-    live = {s: w for s, w in weights.items() if queue.get(s)}
     for q in queue.values():
         q.sort(key=lambda d: hashlib.md5(f"{seed}|{'null' if d['doc_id'] is None else d['doc_id']}".encode()).hexdigest())
-    total, done, out, t = sum(live.values()), Counter(), [], 0
+    out, phase = [], 0
+    live = {s: w for s, w in weights.items() if queue.get(s)}
     while live:
-        ready = [s for s, w in live.items() if done[s] * total // w <= t]
-        s = min(ready, key=lambda s: (-(-(done[s] + 1) * total // live[s]), s))
-        if done[s] == len(queue[s]):
-            break
-        out.append((queue[s][done[s]], s, t))
-        done[s] += 1
-        t += 1
+        total, done, t = sum(live.values()), Counter(), 0
+        while True:
+            ready = [s for s, w in live.items() if done[s] * total // w <= t]
+            s = min(ready, key=lambda s: (-(-(done[s] + 1) * total // live[s]), s))
+            if not queue[s]:
+                break
+            out.append((queue[s].pop(0), s, len(out), phase))
+            done[s] += 1
+            t += 1
+        live = {s: w for s, w in live.items() if queue[s]} if go_on else {}
+        phase += 1
     return out
 
 

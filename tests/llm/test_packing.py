@@ -71,3 +71,18 @@ def test_time_grows_with_the_pieces():
     t = time.time()
     packing.best_fit(np.sort(np.random.default_rng(1).integers(1, 1448, 8192))[::-1], packing.BIN_TOKENS, packing.BIN_DOCS, packing.BIN_ATTENTION)
     assert time.time() - t < 10
+
+
+def test_groups_in_the_order_of_the_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    df = spark.range(1000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', int(1 + id % 50))").alias("text"))
+    df.repartitionById(4, (F.col("doc_id") / 250).cast("int")).sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "t"))
+    rows = packing.pack(spark.read.parquet(str(tmp_path / "t")), group_pieces=100, in_order=True).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.bin_group].append(r.doc_id)
+    runs = [sorted(by[g]) for g in sorted(by)]
+    assert [x for run in runs for x in run] == list(range(1000)) and max(map(len, runs)) == 100
+    check(rows, {r.doc_id: r.text for r in df.collect()})
+    assert len(packing.pack(df, group_pieces=100, in_order=True).collect()) == 1000  # no files: written first

@@ -3,6 +3,15 @@
 Each stage's function takes (spark, docs, sf_dir) and returns a DataFrame. It is
 written as Parquet and read again as the next stage's documents, so a stage that
 fails is run again from its predecessor's table.
+
+Null, empty and blank texts are rejected by the first stage. Of rows with one
+text the smallest id stays, a null id being the largest; of near copies too. Ties
+go by id, and between equal ids by a hash of the row. Texts of any length are
+read whole, and packed in pieces. The fourth stage drops nothing: it lays the
+documents out in mixture order, and the fifth packs runs of that order, so that
+the bins of a group have the mixture's proportions as long as its sources last.
+Columns beyond those of ``documents`` are carried up to the last stage, whatever
+their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,13 +41,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the schedule of target weights takes in."""
-    return mixing.mix(docs, MIX_WEIGHTS).select(*docs.columns)
+    """The documents in the order of the schedule of target weights."""
+    return mixing.in_order(docs, MIX_WEIGHTS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its bin."""
-    return packing.pack(docs)
+    """Every piece of every document with its bin; groups of bins follow the order of the documents."""
+    return packing.pack(docs, in_order=True)
 
 
 STAGES = [

@@ -81,13 +81,15 @@ _RUN = re.compile(rf"(?<![^\W_])(?:\+?(?:{_SPOKEN}|\d)(?![^\W\d_])(?:{_GAP}(?:(?
 _AT = r"(?:at|arroba|ät|aet|arobase)"
 _DOT = r"(?:dot|punkt|punto|point|punt)"
 _OPEN, _CLOSE = r"[(\[{<|*]", r"[)\]}>|*]"
-_AT_ANY = rf"\s*(?:@|{_OPEN}\s*(?:{_AT}|@)\s*{_CLOSE})\s*|\s+{_AT}\s+"
-_DOT_ANY = rf"\.|\s*{_OPEN}\s*(?:{_DOT}|\.)\s*{_CLOSE}\s*|\s+{_DOT}\s+"
+#: Blanks are only scanned from the start of their run, so that a long run is read once.
+_LEAD = r"(?<!\s)\s"
+_AT_ANY = rf"(?:(?<!\s)\s+|(?<!\s))(?:@|{_OPEN}\s*(?:{_AT}|@)\s*{_CLOSE})\s*|{_LEAD}+{_AT}\s+"
+_DOT_ANY = rf"\.|(?:(?<!\s)\s+|(?<!\s)){_OPEN}\s*(?:{_DOT}|\.)\s*{_CLOSE}\s*|{_LEAD}+{_DOT}\s+"
 _LABEL = r"[^\W_](?:[\w\-]{0,61}[^\W_])?"
 #: An at sign or its disguise with a host behind it; what stands before is looked at only then.
 _HOST = re.compile(rf"(?P<at>{_AT_ANY})(?P<host>{_LABEL}(?:(?:{_DOT_ANY}){_LABEL})+)", re.I)
-_LOCAL = re.compile(rf"[^\W_](?:[\w.+%\-]*\w)?(?:(?:\s+{_DOT}\s+|\s*{_OPEN}\s*(?:{_DOT}|\.)\s*{_CLOSE}\s*)[\w+%\-]+)*\Z", re.I)
-_LOCAL_MOST = 160
+_LOCAL = re.compile(rf"[^\W_](?:[\w.+%\-]*\w)?(?:(?:{_LEAD}+{_DOT}\s+|(?:(?<!\s)\s+|(?<!\s)){_OPEN}\s*(?:{_DOT}|\.)\s*{_CLOSE}\s*)[\w+%\-]+)*\Z", re.I)
+_LOCAL_LOOK = 160
 _DOT_FIND = re.compile(_DOT_ANY, re.I)
 _PLAIN_AT = re.compile(rf"\s+{_AT}\s+", re.I)
 
@@ -185,9 +187,10 @@ def _spell(m: re.Match) -> list[tuple[int, int, str]]:
     A run counts with four spelled words, or with fewer if its digits are as
     many as a phone number's and it doesn't hold an identifier as it stands.
     """
-    tokens = list(_TOKEN.finditer(m.group(0)))
+    run = m.group(0)  # taken once: a run may be as long as the text
+    tokens = list(_TOKEN.finditer(run))
     words = sum(t.group(0).lower() in _DIGIT for t in tokens)
-    if not words or words < 4 and (not _NUMBER.fullmatch(_digits(tokens)) or _plain(m.group(0))):
+    if not words or words < 4 and (not _NUMBER.fullmatch(_digits(tokens)) or _plain(run)):
         return []
     spans, times, before = [], 1, None
     for t in tokens:
@@ -198,7 +201,7 @@ def _spell(m: re.Match) -> list[tuple[int, int, str]]:
         else:
             new = (_DIGIT.get(w) or _MARK.get(w) or w) * (times if w not in _MARK else 1)
             times = 1
-        gap = m.group(0)[before : t.start()] if before is not None else ""
+        gap = run[before : t.start()] if before is not None else ""
         if before is not None and gap and not re.search(r"[.\-()/]", gap):
             # a comma tells groups of digits apart
             spans.append((m.start() + before, m.start() + t.start(), "-" if "," in gap else ""))
@@ -220,8 +223,12 @@ def _address(text: str, m: re.Match) -> list[tuple[int, int, str]]:
         return []  # "look at example.com" is no address
     if not re.fullmatch(r"[^\W\d_]{2,24}", labels[-1]):
         return []
-    low = max(0, m.start("at") - _LOCAL_MOST)
-    local = next((x for x in _LOCAL.finditer(text[low : m.start("at")])), None)
+    at, look, low = m.start("at"), _LOCAL_LOOK, -1
+    local = None
+    while low and (low < 0 or local is not None and local.start() == 0):  # it may go on before what was looked at
+        low = max(0, at - look)
+        local = next(_LOCAL.finditer(text[low:at]), None)
+        look *= 4
     if local is None:
         return []
     spans = [(low + local.start() + d.start(), low + local.start() + d.end(), ".") for d in _DOT_FIND.finditer(local.group(0)) if d.group(0) != "."]

@@ -89,7 +89,7 @@ _LABEL = r"[^\W_](?:[\w\-]{0,61}[^\W_])?"
 #: An at sign or its disguise with a host behind it; what stands before is looked at only then.
 _HOST = re.compile(rf"(?P<at>{_AT_ANY})(?P<host>{_LABEL}(?:(?:{_DOT_ANY}){_LABEL})+)", re.I)
 _LOCAL = re.compile(rf"[^\W_](?:[\w.+%\-]*\w)?(?:(?:{_LEAD}+{_DOT}\s+|(?:(?<!\s)\s+|(?<!\s)){_OPEN}\s*(?:{_DOT}|\.)\s*{_CLOSE}\s*)[\w+%\-]+)*\Z", re.I)
-_LOCAL_LOOK = 160
+_LOCAL_LOOK, _DISGUISE = 160, 8
 _DOT_FIND = re.compile(_DOT_ANY, re.I)
 _PLAIN_AT = re.compile(rf"\s+{_AT}\s+", re.I)
 
@@ -223,11 +223,13 @@ def _address(text: str, m: re.Match) -> list[tuple[int, int, str]]:
         return []  # "look at example.com" is no address
     if not re.fullmatch(r"[^\W\d_]{2,24}", labels[-1]):
         return []
-    at, look, low = m.start("at"), _LOCAL_LOOK, -1
-    local = None
-    while low and (low < 0 or local is not None and local.start() == 0):  # it may go on before what was looked at
+    at, look = m.start("at"), _LOCAL_LOOK
+    while True:
         low = max(0, at - look)
         local = next(_LOCAL.finditer(text[low:at]), None)
+        # it may go on before what was looked at, where less stands before it than a dot's disguise
+        if local is None or not low or len("".join(text[low : low + local.start()].split())) > _DISGUISE:
+            break
         look *= 4
     if local is None:
         return []

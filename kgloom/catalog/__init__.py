@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from kgloom.catalog import entity_queries, fact_queries, triple_queries
+from kgloom.catalog import entity_queries, fact_queries, source_queries, triple_queries
 from kgloom.catalog.views import VIEWS, duck_view
 
-_ALL = [*triple_queries.QUERIES, *fact_queries.QUERIES, *entity_queries.QUERIES]
+_ALL = [*triple_queries.QUERIES, *fact_queries.QUERIES, *entity_queries.QUERIES, *source_queries.QUERIES]
 
 
 def queries() -> dict:

@@ -95,6 +95,11 @@ def _schemas(spark, sf):
 _SIZES = "SELECT CASE WHEN source < 'www.shop2' THEN 'train' ELSE 'test' END AS split, (SELECT count(*) FROM properties p WHERE p.identifier = e.identifier) AS n FROM entity_ids e"
 _MAP = _RATIOS.replace("AS pairs", "AS mappings")
 _FUSED = "SELECT cluster_id, count(entity_id) AS n, max(fused_id) IS NOT NULL AS fused FROM clusters GROUP BY cluster_id"
+_TREE = f"""{_RULES[: _RULES.rindex('SELECT class, domain, confidence')].rstrip()},
+m AS (SELECT class, domain FROM f), within AS (SELECT DISTINCT a.domain, p.parent, p.class FROM parents p JOIN m a ON a.class = p.class JOIN m b ON b.class = p.parent AND b.domain = a.domain),
+tree(domain, class, path) AS (SELECT domain, class, [class] FROM m ANTI JOIN within USING (class, domain)
+ UNION ALL SELECT w.domain, w.class, list_append(t.path, w.class) FROM tree t JOIN within w ON w.domain = t.domain AND w.parent = t.class WHERE NOT list_contains(t.path, w.class))
+SELECT domain, array_to_string(path, '/') AS path, len(path) - 1 AS depth FROM tree UNION ALL SELECT domain, '~' || class, 0 FROM m ANTI JOIN tree USING (class, domain)"""
 
 QUERIES = [
     ("f11_entity_filter", _e(lambda e: _flat(en.filter_entities(e, {"<market segment>": "BUILDING", "balance": "2547.4"})).unionByName(_flat(en.filter_entities(e, {"<market segment>": None})))),
@@ -132,7 +137,7 @@ SELECT entity_id, m.cluster_id, CASE WHEN m.record IS NOT DISTINCT FROM n.record
      "SELECT id1, id2 FROM pairs WHERE is_match AND id1 IN (SELECT identifier FROM entity_ids) AND id2 IN (SELECT identifier FROM entity_ids)"),
     ("s16_gold_pairs", lambda spark, sf: linkage.gold_pairs(spark_view(spark, sf, "pairs"), entities(spark, sf)).select("id1", "id2", "is_match"),
      "SELECT id1, id2, is_match FROM pairs WHERE is_match AND id1 IN (SELECT identifier FROM entity_ids) AND id2 IN (SELECT identifier FROM entity_ids)"),
-    ("c4_fusion", _on("clusters", lambda c: en.fuse(c, {"balance": "max", "nation": "min", "name": "concat"})), "SELECT cluster_id, max(balance) AS balance, min(nation) AS nation, array_to_string(list_sort(list(DISTINCT name)), '|') AS name FROM clusters GROUP BY cluster_id"),
+    ("c4_fusion", _on("clusters", lambda c: en.fuse(c.withColumn("worth", F.col("balance")), {"balance": "max", "nation": "min", "name": "concat", "worth": "average"}).withColumn("worth", F.round("worth", 6))), "SELECT cluster_id, max(balance) AS balance, min(nation) AS nation, round(avg(balance), 6) AS worth, array_to_string(list_sort(list(DISTINCT name)), '|') AS name FROM clusters GROUP BY cluster_id"),
     ("c5_splits", _on("entity_ids", lambda e: e.select("identifier", en.split_of(F.col("identifier"), {"train": 0.7, "dev": 0.1, "test": 0.2}).alias("split"))),
      "SELECT identifier, CASE WHEN h < 3006477107 THEN 'train' WHEN h < 3435973837 THEN 'dev' ELSE 'test' END AS split FROM (SELECT identifier, CAST('0x' || md5('42|' || identifier)[1:8] AS BIGINT) AS h FROM entity_ids) x"),
     ("c6_pair_entities", _on("pairs", en.pair_entities), "SELECT split, id1 AS entity FROM pairs UNION SELECT split, id2 FROM pairs"),
@@ -146,7 +151,7 @@ SELECT entity_id, m.cluster_id, CASE WHEN m.record IS NOT DISTINCT FROM n.record
      f"RECURSIVE WITH {_COMPONENTS} SELECT identifier AS entity_id, cluster_id FROM entity_ids LEFT JOIN comp ON entity_id = identifier"),
     ("g5_source_matrix", _e(graph.source_matrix), "SELECT source, k AS attribute, row_number() OVER (PARTITION BY source ORDER BY k) - 1 AS position FROM (SELECT DISTINCT source, k FROM properties) x"),
     ("g6_anchor_distance", _distances, f"RECURSIVE WITH {_DIST} SELECT class, domain, distance FROM dist"),
-    ("g7_hierarchy_tree", lambda spark, sf: graph.hierarchy_lines(spark_view(spark, sf, "parents"), _rules(spark, sf).select("class", "domain")), None),
+    ("g7_hierarchy_tree", lambda spark, sf: graph.hierarchy_lines(spark_view(spark, sf, "parents"), _rules(spark, sf).select("class", "domain")), _TREE),
     ("g8_merge_clusters", _on("clusters", lambda c: graph.merge_clusters(c.select("cluster_id", "entity_id"), c.select("cluster_id", F.regexp_replace("cluster_id", "[0-9]$", "0").alias("into")).distinct())),
      "SELECT DISTINCT regexp_replace(cluster_id, '[0-9]$', '0') AS cluster_id, entity_id FROM clusters"),
     ("c1_semantic_scores", _scores, f"WITH {_KW}, {_SCORES} SELECT class, domain, score FROM score"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from kgloom.catalog.views import DBO, RDF, SKOS, duck_view, spark_view
@@ -33,6 +35,15 @@ def _spread(x):
     return f"avg({x}) AS mean, quantile_disc({x}, 0.5) AS median, stddev({x}) AS std, min({x}) AS min, max({x}) AS max, quantile_disc({x}, 0.25) AS q25, quantile_disc({x}, 0.75) AS q75"
 
 
+_QUANTILES = ("q25", "median", "q75")
+_SPANS = re.sub(r"(quantile_disc\([^()]*\))", r"\1::DOUBLE", _spread("tEnd - tStart"))
+
+
+def _doubles(df):
+    """Quantiles as doubles, to whose precision they are found: open windows are longer than any double counts by one."""
+    return df.withColumns({c: F.col(c).cast("double") for c in _QUANTILES})
+
+
 _SEC = "%Y-%m-%d %H:%M:%S"
 _DEG = lambda node, other, where: f"(SELECT year({_at('tStart')}) AS year, {node}, count({other}) AS degree FROM facts WHERE {where} GROUP BY ALL)"
 _IN, _KNOWN, _OUT = _DEG("tail", "head", "starts_with(tail, 'http://')"), _DEG("tail", "head", "starts_with(tail, 'http://') AND tail IN (SELECT head FROM facts)"), _DEG("head", "tail", "true")
@@ -101,7 +112,7 @@ QUERIES = [
     ("t1_windows", lambda spark, sf: tp.windows(spark_view(spark, sf, "all_versions"), spark_view(spark, sf, "version_triples")), _windows(False)),
     ("t1_windows_with_failures", lambda spark, sf: tp.windows(spark_view(spark, sf, "versions"), spark_view(spark, sf, "version_triples")), _windows(True)),
     ("f13_resources", _on(tp.resources), f"SELECT {_A} FROM facts WHERE starts_with(tail, 'http://')"),
-    ("f13_resources_by_subject", _on(lambda f: tp.resources(f, known=True)), f"SELECT {_A} FROM facts WHERE starts_with(tail, 'http://') AND tail IN (SELECT head FROM facts)"),
+    ("f13_resources_by_subject", _on(lambda f: tp.resources(f, known=True)), f"SELECT {_A} FROM facts SEMI JOIN (SELECT DISTINCT head AS tail FROM facts) x USING (tail) WHERE starts_with(tail, 'http://')"),
     ("f14_snapshot_half_open", _on(lambda f: tp.snapshot(f, TS)), f"SELECT {_A} FROM facts WHERE tStart <= {TS} AND {TS} < tEnd"),
     ("f15_snapshot_closed", _on(lambda f: tp.snapshot(f, TS, closed=True)), f"SELECT {_A} FROM facts WHERE {_CLOSED(TS)}"),
     ("f16_wpl", _on(tp.page_links), f"SELECT {_A} FROM facts WHERE rel = '{DBO}wikiPageWikiLink'"),
@@ -133,9 +144,9 @@ SELECT CAST(y - 1 AS INTEGER) AS prevYear, CAST(y AS INTEGER) AS currYear, coale
     ("a11_in_degree_distribution", _on(lambda f: st.degree_distribution(f, incoming=True, accuracy=EXACT)), f"SELECT year, {_spread('degree')} FROM {_IN} x GROUP BY year"),
     ("a12_out_degree_frequency", _on(lambda f: st.degree_frequency(f, incoming=False)), f"SELECT year, degree, count(*) AS count FROM {_OUT} x GROUP BY ALL"),
     ("a13_out_degree_distribution", _on(lambda f: st.degree_distribution(f, incoming=False, accuracy=EXACT)), f"SELECT year, {_spread('degree')} FROM {_OUT} x GROUP BY year"),
-    ("a14_span_over_time", _on(lambda f: st.activity_span(f.where(F.col("tEnd") < OPEN_END), by_year=True, accuracy=EXACT)),
-     f"SELECT year({_at('tStart')}) AS year, {_spread('tEnd - tStart')} FROM facts WHERE tStart <= tEnd AND tEnd < {OPEN_END} GROUP BY ALL"),
-    ("a15_span", _on(lambda f: st.activity_span(f.where(F.col("tEnd") < OPEN_END), accuracy=EXACT)), f"SELECT {_spread('tEnd - tStart')} FROM facts WHERE tStart <= tEnd AND tEnd < {OPEN_END}"),
+    ("a14_span_over_time", _on(lambda f: _doubles(st.activity_span(f, by_year=True, accuracy=EXACT))),
+     f"SELECT year({_at('tStart')}) AS year, {_SPANS} FROM facts WHERE tStart <= tEnd GROUP BY ALL"),
+    ("a15_span", _on(lambda f: _doubles(st.activity_span(f, accuracy=EXACT))), f"SELECT {_SPANS} FROM facts WHERE tStart <= tEnd"),
     ("a16_subjects_by_year", _on(lambda f: st.parts_over_time(f, "subject")), _parts("head", False)),
     ("a16_predicates_by_month", _on(lambda f: st.parts_over_time(f, "predicate", monthly=True)), _parts("rel", True)),
     ("a16_objects_by_year", _on(lambda f: st.parts_over_time(f, "object")), _parts("tail", False)),
@@ -168,8 +179,8 @@ CAST(sum(count) AS BIGINT) AS count FROM ({_HOURS}) x GROUP BY bin"""),
     ("s6_split_pages", lambda spark, sf: wiki.split_pages(_pages(spark, sf)),
      f"""SELECT '<title>Page ' || pid || '</title><ns>' || ns || '</ns><id>' || pid || '</id>' AS pagexml, '<revision><id>' || rid || '</id><timestamp>' || strftime({_at('ts')}, '%Y-%m-%dT%H:%M:%SZ') || '</timestamp><text>some {{{{Infobox thing |state = ' || rid % 3 || ' |x={{{{nested}}}} }}}} text</text></revision>' AS revisionxml FROM ({_XML}) x"""),
     ("t7_revision_meta", lambda spark, sf: wiki.enriched(wiki.split_pages(_pages(spark, sf))), f"SELECT pid, rid, ts, CAST(ns AS INTEGER) AS ns, 'Page ' || pid AS title FROM ({_XML}) x"),
-    ("t10_templates", lambda spark, sf: wiki.with_templates(_revision_texts(spark, sf)).select("pid", "rid", F.explode("templates").alias("t")).select("pid", "rid", "t.name", "t.content"),
-     "SELECT pid, rid, 'Infobox thing' AS name, '{{Infobox thing |state = ' || rid % 3 || ' |x={{nested}} }}' AS content FROM all_versions"),
+    ("t10_templates", lambda spark, sf: wiki.with_templates(_revision_texts(spark, sf)).select("pid", "rid", F.explode("templates").alias("t")).select("pid", "rid", "t.name", "t.hash", "t.content"),
+     "SELECT pid, rid, 'Infobox thing' AS name, to_base64(unhex(md5(content))) AS hash, content FROM (SELECT pid, rid, '{{Infobox thing |state = ' || rid % 3 || ' |x={{nested}} }}' AS content FROM all_versions) x"),
     ("t3_field_triples", lambda spark, sf: wiki.field_triples(_revision_texts(spark, sf), "http://ex.org/"),
      "SELECT pid, rid, 'http://ex.org/Page_' || pid AS head, 'http://ex.org/property/state' AS rel, '\"' || rid % 3 || '\"' AS tail FROM all_versions"),
 ]

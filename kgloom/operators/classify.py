@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kgloom.functions.literals import camel_tokens
 
 DEFAULT_DOMAIN = "Organizations"
+MOST_KEYWORDS = 100_000
 
 
 def semantic_scores(names: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -22,7 +23,10 @@ def semantic_scores(names: DataFrame, keywords: DataFrame) -> DataFrame:
     a keyword of more than five letters counts 1; each distinct token once.
     """
     tokens = names.select("class", F.explode(camel_tokens(F.col("name"))).alias("token")).distinct()
-    words = F.broadcast(keywords)  # a vocabulary of the rules
+    # a vocabulary of the rules, whose size is the number of comparisons for each token
+    if keywords.count() > MOST_KEYWORDS:
+        raise ValueError(f"more than {MOST_KEYWORDS} keywords")
+    words = F.broadcast(keywords)
     hits = tokens.join(words, F.col("token").contains(F.col("keyword")))
     points = F.when(F.col("token") == F.col("keyword"), 2).when(F.length("keyword") > 5, 1)
     best = hits.withColumn("points", points).where("points is not null").groupBy("class", "domain", "token").agg(F.max("points").alias("points"))

@@ -70,18 +70,22 @@ def anchor_distances(parents: DataFrame, anchors: DataFrame) -> DataFrame:
         reached = cut(reached.union(edge))
 
 
-def hierarchy_lines(parents: DataFrame, members: DataFrame) -> DataFrame:
+def hierarchy_lines(parents: DataFrame, members: DataFrame, most: int = 10_000_000) -> DataFrame:
     """(domain, path, depth): each class of a domain below the roots of its domain, alphabetical by path.
 
     ``members``: (class, domain). Roots have no parent within the domain; a
     class with several parents shows under each; a class already on the path is
     not entered again; classes that no root leads to come last, at depth 0.
+    Many parents make many paths: with more than ``most`` it is a ValueError.
     """
     within = parents.join(members, "class").join(members.select(F.col("class").alias("parent"), "domain"), ["parent", "domain"]).select("domain", "parent", "class").distinct()
     roots = members.join(within.select("class", "domain").distinct(), ["class", "domain"], "left_anti")
     level = cut(roots.select("domain", "class", F.array("class").alias("path")))
-    found = level
-    while not level.isEmpty():
+    found, paths = level, 0
+    while n := level.count():
+        paths += n
+        if paths > most:
+            raise ValueError(f"more than {most} paths in the hierarchy")
         below = level.select("domain", F.col("class").alias("parent"), "path").join(within, ["domain", "parent"])
         below = below.where(~F.array_contains("path", F.col("class")))
         level = cut(below.select("domain", "class", F.concat("path", F.array("class")).alias("path")))
@@ -124,3 +128,9 @@ def vertex_windows(facts: DataFrame) -> DataFrame:
     """(head, tStart, tEnd, properties): literal facts of a head and window, sorted and joined by bars."""
     rows = facts.where(F.col("tail").startswith('"'))
     return rows.groupBy("head", "tStart", "tEnd").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws("=", "rel", "tail"))), "|").alias("properties"))
+
+
+def edge_windows(facts: DataFrame) -> DataFrame:
+    """(rel, tStart, tEnd, links): facts between resources of a relation and window, sorted and joined by bars."""
+    rows = facts.where(~F.col("tail").startswith('"'))
+    return rows.groupBy("rel", "tStart", "tEnd").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws(">", "head", "tail"))), "|").alias("links"))

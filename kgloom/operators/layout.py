@@ -78,3 +78,19 @@ def led_to(triples: DataFrame, kind: str, label: str, edge: str) -> DataFrame:
     start = _of_type(triples, kind).join(named.where(F.col("label") == label), "s").select("s")
     hop = triples.where(F.col("p") == edge).select("s", F.col("o").alias("target")).distinct()
     return start.join(hop, "s").join(named.select(F.col("s").alias("target"), F.col("label").alias("target_label")), "target").select("s", "target", "target_label")
+
+
+def overlaps(spark, folder: str, runs: dict) -> DataFrame:
+    """(layout, query, rows, shared): each query on each layout below ``folder``, and how many of its rows the unpartitioned layout gives too.
+
+    ``runs``: by name (query, predicates or None, types or None); a query takes
+    triples to rows.
+    """
+    out = None
+    for name, (query, predicates, types) in runs.items():
+        base = query(read_layout(spark, f"{folder}/all", "all")).distinct()
+        for layout in LAYOUTS:
+            got = query(read_layout(spark, f"{folder}/{layout}", layout, predicates, types)).distinct()
+            rows = got.join(base.withColumn("_in", F.lit(1)), got.columns, "left").agg(F.lit(layout).alias("layout"), F.lit(name).alias("query"), F.count("*").alias("rows"), F.count("_in").alias("shared"))
+            out = rows if out is None else out.union(rows)
+    return out

@@ -81,6 +81,15 @@ def sample_type_targets(triples: DataFrame, targets: dict[str, int], related: in
     return triples.join(chosen, "s", "left_semi")
 
 
+def sample_coverage(triples: DataFrame, n: int, related: int = 0, seed: int = 42) -> DataFrame:
+    """The triples of entities that cover every predicate: up to n of each predicate's subjects, and their neighbours."""
+    _check(n, related)
+    of = triples.select("s", "p").distinct()
+    rank = F.row_number().over(Window.partitionBy("p").orderBy(shuffled(seed, F.col("s")), "s"))
+    seeds = of.withColumn("r", rank).where(F.col("r") <= n).select("s").distinct()
+    return _selected(triples, seeds, related, seed, directed=True)
+
+
 def overlapping_subsets(ids: DataFrame, key: str, k: int, size: int, overlap: float, seed: int = 42) -> DataFrame:
     """(subset, key): k subsets of ``size`` ids that share ``overlap`` x size of them and nothing else."""
     core = round(size * overlap)

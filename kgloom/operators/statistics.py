@@ -165,6 +165,11 @@ def property_changes(facts: DataFrame, accuracy: int = 10_000) -> DataFrame:
     return each.groupBy("rel").agg(F.avg("n").alias("avg"), F.min("n").alias("min"), F.max("n").alias("max"), q(0.25, "q25"), q(0.5, "median"), q(0.75, "q75"), F.sum("n").alias("total_changes"))
 
 
+def top_properties(facts: DataFrame, n: int = 20, accuracy: int = 10_000) -> DataFrame:
+    """The n relations whose values change most often by median, ties by name; a report."""
+    return property_changes(facts, accuracy).orderBy(F.desc("median"), "rel").limit(n)
+
+
 # revision metadata: (id, pageid, timestamp as ISO-8601 text, namespace)
 
 

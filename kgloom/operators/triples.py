@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.functions.literals import any_property, is_literal
-from kgloom.vocab import DBO, RDF_TYPE
+from kgloom.vocab import DBO, RDF_TYPE, RDFS_LABEL
 
 def is_type() -> Column:
     """Whether the predicate is rdf:type, written out or as ``a``."""
@@ -136,8 +136,46 @@ def mapped_properties(triples: DataFrame, mapping: list[tuple[str, str, str]]) -
     return rows.select("s", F.col("p_new").alias("p"), "o", "isLiteral")
 
 
+def replace_namespace(triples: DataFrame, old: str, new: str) -> DataFrame:
+    """Terms of one namespace moved to another, in any position; literals stay."""
+
+    def moved(term: Column) -> Column:
+        return F.when(term.startswith(f"<{old}"), F.concat(F.lit(f"<{new}"), F.substring(term, F.lit(len(old) + 2), F.length(term)))).otherwise(term)
+
+    return triples.withColumns({c: moved(F.col(c)) for c in ("s", "p", "o")})
+
+
+def with_alt_labels(triples: DataFrame) -> DataFrame:
+    """The triples and a skos:altLabel beside every rdfs:label."""
+    copies = triples.where(F.col("p") == RDFS_LABEL).withColumn("p", F.lit("<http://www.w3.org/2004/02/skos/core#altLabel>"))
+    return triples.unionByName(copies)
+
+
 def one_level(triples: DataFrame) -> DataFrame:
     """(s, json): each subject's predicates with their sorted distinct objects."""
     objects = triples.groupBy("s", "p").agg(F.sort_array(F.collect_set("o")).alias("os"))
     rows = objects.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("p", "os"))).alias("e"))
     return rows.select("s", F.to_json(F.map_from_entries("e")).alias("json"))
+
+
+def nested(triples: DataFrame, depth: int = 1) -> DataFrame:
+    """(s, json): each subject as ``{"@id": s, p: [objects...]}``, predicates and objects in order.
+
+    Down to ``depth`` an object that is a subject itself stands as such a JSON
+    object in its place, below that as its name; depth 0 is one level. So cycles
+    end at the depth. One join a level.
+    """
+    if depth < 0:
+        raise ValueError("depth can't be negative")
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    facts = triples.select("s", "p", "o").distinct()
+    level = None
+    for _ in range(depth + 1):
+        rows = facts.withColumn("v", quoted(F.col("o")))
+        if level is not None:
+            rows = facts.join(level.select(F.col("s").alias("o"), "json"), "o", "left").select("s", "p", "o", F.coalesce("json", quoted(F.col("o"))).alias("v"))
+        each = rows.groupBy("s", "p").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "v"))), lambda x: x["v"]).alias("vs"))
+        entry = F.concat(quoted(F.col("p")), F.lit(":["), F.array_join("vs", ","), F.lit("]"))
+        level = each.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("p", entry.alias("e")))).alias("es"))
+        level = level.select("s", F.concat(F.lit('{"@id":'), quoted(F.col("s")), F.lit(","), F.array_join(F.transform("es", lambda x: x["e"]), ","), F.lit("}")).alias("json"))
+    return level

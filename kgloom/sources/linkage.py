@@ -14,12 +14,13 @@ def as_entities(df: DataFrame, source: str, id_column: str = "id") -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, source: str, id_column: str = "id") -> DataFrame:
-    """Entities of a CSV (UTF-8 if it decodes as such, else Latin-1) or JSON-lines file."""
+    """Entities of a CSV (UTF-8, with or without a byte order mark, if it decodes as such, else Latin-1) or JSON-lines file."""
     if path.endswith((".json", ".jsonl", ".json.gz")):
         return as_entities(spark.read.json(path), source, id_column)
-    raw = spark.read.format("binaryFile").load(path)
-    broken = raw.where(~F.is_valid_utf8(F.col("content").cast("string"))).limit(1).count()
+    # lines are looked at one by one, so that no file has to fit a cell
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
     df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', encoding="ISO-8859-1" if broken else "UTF-8")
+    df = df.toDF(*[c.removeprefix("\ufeff").removeprefix("\u00ef\u00bb\u00bf") for c in df.columns])
     return as_entities(df, source, id_column)
 
 

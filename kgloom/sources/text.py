@@ -73,6 +73,18 @@ def write_ntriples(triples: DataFrame, path: str, compression: str | None = None
     (writer.option("compression", compression) if compression else writer).text(path)
 
 
+def write_extraction(facts: DataFrame, path: str, form: str = "csv") -> None:
+    """Extracted facts as CSV with a header, or as quads (``ngraph``)."""
+    if form == "csv":
+        facts.write.mode("errorifexists").csv(path, header=True)
+    elif form == "ngraph":
+        from kgloom.operators.serialize import nquads
+
+        nquads(facts).write.mode("errorifexists").text(path)
+    else:
+        raise ValueError(f"unknown form {form!r}")
+
+
 def write_report(df: DataFrame, folder: str, name: str, files: int | None = 1) -> None:
     """A result as CSV under its own name; ``files`` None keeps the partitions."""
     (df.coalesce(files) if files else df).write.mode("overwrite").csv(f"{folder}/{name}", header=True)

@@ -105,3 +105,31 @@ def field_triples(revisions_: DataFrame, base: str, prefix: str = "Infobox") ->
     key, value = F.regexp_extract("f", r"\|\s*(\w+)", 1), F.trim(F.regexp_extract("f", r"=\s*([^|{}\n]*)", 1))
     rows = rows.select("pid", "rid", F.concat(F.lit(base), F.replace("title", F.lit(" "), F.lit("_"))).alias("head"), F.concat(F.lit(base + "property/"), key).alias("rel"), value.alias("v"))
     return rows.where("v <> ''").select("pid", "rid", "head", "rel", F.concat(F.lit('"'), F.col("v"), F.lit('"')).alias("tail"))
+
+
+def expand_endpoints(patterns: list[str]) -> list[str]:
+    """``host:9501-9504/path`` as one address a port; others as they are."""
+    out = []
+    for p in patterns:
+        m = re.search(r":(\d+)-(\d+)", p)
+        out += [f"{p[: m.start()]}:{port}{p[m.end() :]}" for port in range(int(m.group(1)), int(m.group(2)) + 1)] if m else [p]
+    return out
+
+
+def with_endpoint(revisions_: DataFrame, endpoints: list[str], page: str = "pid") -> DataFrame:
+    """Rows with the ``endpoint`` that serves their page, one partition an endpoint, a page's rows in order.
+
+    Pages go round; what extracts runs as ``mapInArrow`` on the result, each task
+    with one endpoint.
+    """
+    if not endpoints:
+        raise ValueError("no endpoint given")
+    at = F.pmod(F.xxhash64(page), F.lit(len(endpoints))).cast("int")
+    placed = revisions_.withColumn("_at", at).repartitionById(len(endpoints), F.col("_at")).sortWithinPartitions(page)
+    return placed.withColumn("endpoint", F.element_at(F.array(*map(F.lit, endpoints)), F.col("_at") + 1)).drop("_at")
+
+
+def outcomes(versions: DataFrame) -> DataFrame:
+    """(event, revisions, pages, first, last) of the versions (pid, rid, ts, ok): how many were extracted, how many failed, and the time they span."""
+    event = F.when(F.col("ok"), "extracted").otherwise("failed").alias("event")
+    return versions.groupBy(event).agg(F.count("*").alias("revisions"), F.count_distinct("pid").alias("pages"), F.min("ts").alias("first"), F.max("ts").alias("last"))

@@ -64,3 +64,63 @@ def test_facts_from_text(spark, tmp_path):
     text.write_report(raw, str(tmp_path), "report")
     assert spark.read.csv(f"{tmp_path}/report", header=True).count() == 1
     assert text.convert(spark, f"{tmp_path}/report", f"{tmp_path}/pq", "csv") == 1
+
+
+def test_turtle():
+    import pytest
+
+    from kgloom.sources.ontology import parse_turtle
+
+    doc = '''@prefix ex: <http://ex.org/> . @base <http://b.org/> . # comment
+    ex:a a ex:C ; ex:p "x"@en-GB, """long "quoted"
+text""", 'single', 5, -1.5, 2e3, true, <rel> ; .
+    [] ex:q ( ex:a "b" ) . _:n ex:r [ ex:s ex:t ] .'''
+    got = parse_turtle(doc, "f")
+    assert ("<http://ex.org/a>", "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>", "<http://ex.org/C>", False) in got
+    x = "http://www.w3.org/2001/XMLSchema#"
+    assert [o for s, p, o, _ in got if p == "<http://ex.org/p>"] == ['"x"@en-GB', '"long \\"quoted\\"\\ntext"', '"single"', f'"5"^^<{x}integer>', f'"-1.5"^^<{x}decimal>', f'"2e3"^^<{x}double>', f'"true"^^<{x}boolean>', "<http://b.org/rel>"]
+    assert sum(p.endswith("#first>") for _, p, _, _ in got) == 2 and ("_:fn", "<http://ex.org/r>") in [(s, p) for s, p, _, _ in got]
+    assert parse_turtle("") == []
+    for bad in ("ex:a a ex:b .", "<a> <b> .", "<a> <b> <c>", "<a> <b> \"x .", "@prefix ex: 5 ."):
+        with pytest.raises(ValueError):
+            parse_turtle(bad)
+
+
+def test_bundle_and_endpoints(spark, tmp_path):
+    import pytest
+
+    from kgloom.sources import bundle
+
+    sub = spark.createDataFrame([(0, "a"), (1, "a"), (1, "b")], "split int, s string")
+    t = spark.createDataFrame([("a", "p", "x", False), ("b", "p", "a", False), ("c", "p", "a", False)], "s string, p string, o string, isLiteral boolean")
+    texts = spark.createDataFrame([("a", "text"), ("b", ""), ("c", None)], "s string, text string")
+    got = rows(bundle.write_bundle(str(tmp_path / "b"), sub, t, texts))
+    assert (0, "seed", 1, 1) in got and (1, "rdf", 2, 2) in got and (1, "reference", 2, 2) in got and (0, "text", 1, 1) in got and (1, "text", 1, 1) in got
+    with pytest.raises(Exception):
+        bundle.write_bundle(str(tmp_path / "b"), sub, t, texts)
+    assert wiki.expand_endpoints(["h:1-3/x", "h:9"]) == ["h:1/x", "h:2/x", "h:3/x", "h:9"]
+    with pytest.raises(ValueError):
+        wiki.with_endpoint(sub, [])
+    with pytest.raises(ValueError):
+        text.write_extraction(t, str(tmp_path / "e"), "xml")
+
+
+def test_nested_objects_end_at_the_depth(spark):
+    from kgloom.operators import triples as tr
+
+    t = spark.createDataFrame([("a", "p", "b", False), ("b", "p", "a", False), ("b", "q", '"x"', True)], "s string, p string, o string, isLiteral boolean")
+    got = {r.s: json.loads(r.json) for r in tr.nested(t, 1).collect()}
+    assert got["a"] == {"@id": "a", "p": [{"@id": "b", "p": ["a"], "q": ['"x"']}]} and got["b"]["p"][0] == {"@id": "a", "p": ["b"]}
+
+
+def test_too_many_paths_are_an_error(spark):
+    import pytest
+
+    from kgloom.operators import graph
+
+    layers = [(f"{k}{x}", f"{k - 1}{y}") for k in range(1, 5) for x in "ab" for y in "ab"]
+    parents = spark.createDataFrame(layers, "class string, parent string")
+    members = spark.createDataFrame([(f"{k}{x}", "d") for k in range(5) for x in "ab"], "class string, domain string")
+    assert graph.hierarchy_lines(parents, members).count() == 2 + 4 + 8 + 16 + 32
+    with pytest.raises(ValueError):
+        graph.hierarchy_lines(parents, members, most=20)

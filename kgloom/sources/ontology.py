@@ -63,6 +63,12 @@ def parse_turtle(text: str, scope: str = "") -> list[tuple[str, str, str, bool]]
     def full(iri):
         return iri if re.match(r"<[A-Za-z][\w+.\-]*:", iri) else f"<{base}{iri[1:]}"
 
+    def address():
+        kind, value, where = take()
+        if kind != "iri":
+            raise ValueError(f"no IRI at {where}: {value!r}")
+        return full(value)[1:-1]
+
     def emit(s, p, o):
         out.append((s, p, o, o.startswith('"')))
 
@@ -125,10 +131,12 @@ def parse_turtle(text: str, scope: str = "") -> list[tuple[str, str, str, bool]]
         if tokens[i][0] == "directive":
             what = take()[1]
             if "prefix" in what.lower():
-                name = take()[1]
-                prefixes[name[:-1]] = full(take()[1])[1:-1]
+                kind, name, where = take()
+                if kind != "name" or not name.endswith(":"):
+                    raise ValueError(f"no prefix at {where}: {name!r}")
+                prefixes[name[:-1]] = address()
             else:
-                base = full(take()[1])[1:-1]
+                base = address()
             if what.startswith("@"):
                 take(".")
             continue

@@ -11,6 +11,12 @@ Around every repeated anchor the match is then extended: all windows of the full
 length that hold one are compared, and those that come again merge into maximal
 passages. Every copy is held against the first one, so the work grows with the
 text in repeated passages, and not with the pairs of their copies.
+
+A window that very many documents share would be one task's work. Such windows
+are told from the documents of one hash class in ``_SAMPLE``; their first places
+are found by an aggregate that combines before the shuffle, and are broadcast, so
+that their copies spread over tasks. Which windows take this way doesn't matter
+to the result.
 """
 
 from __future__ import annotations
@@ -23,12 +29,15 @@ from pyspark.sql import functions as F
 from kgloom.llm import names
 from kgloom.llm.counting import blocks, merged, shard_count
 from kgloom.llm.words import U, buffers, char_positions, doc_groups, mix, word_spans
-from kgloom.plans.durable import written
+from kgloom.plans.durable import cut, written
 
 PERIOD = 31
 COVER = (0, 1, 3, 8, 12, 18)
 MATCH_WORDS = 50
 BROADCAST_KEYS = 8_000_000
+HOT_PLACES = 1_000_000
+HOT_KEYS = 1_000_000
+_SAMPLE, _SALTS = 64, 256
 _BASE = U(0x9E3779B97F4A7C15)
 
 
@@ -121,7 +130,7 @@ def _extend(batch: pa.RecordBatch, match_words: int, hits) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc_id", "word", "start", "stop"])
 
 
-def repeated_passages(docs: DataFrame, match_words: int = MATCH_WORDS, broadcast_keys: int = BROADCAST_KEYS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def repeated_passages(docs: DataFrame, match_words: int = MATCH_WORDS, broadcast_keys: int = BROADCAST_KEYS, text: str = "text", doc_id: str = "doc_id", hot_places: int = HOT_PLACES) -> DataFrame:
     """(doc_id, start, stop, n_words, dup_of) of every passage that stands elsewhere before.
 
     A row is a maximal run of ``match_words``-word windows each of which occurs
@@ -136,7 +145,9 @@ def repeated_passages(docs: DataFrame, match_words: int = MATCH_WORDS, broadcast
     Other columns are ignored; an empty table gives no rows.
 
     Up to ``broadcast_keys`` repeated anchors (8 bytes each) are sent to the
-    scan; beyond, they are joined by a shuffle, to the same result.
+    scan; beyond, they are joined by a shuffle, to the same result. Windows with
+    more than about ``hot_places`` places are spread over tasks. Windows are equal
+    when the 64-bit hashes of their words are.
     """
     if match_words < PERIOD:
         raise ValueError(f"match_words must be at least {PERIOD}")
@@ -155,13 +166,27 @@ def repeated_passages(docs: DataFrame, match_words: int = MATCH_WORDS, broadcast
             for b in batches:
                 yield _extend(b, match_words, known)
 
-        places = src.mapInArrow(run, _PLACES)
+        def places_of(rows: DataFrame) -> DataFrame:
+            return rows.mapInArrow(run, _PLACES)
+
     else:
-        places = _places_by_shuffle(src, again, match_words)
-    # all occurrences of a window meet; every later one points to the first
-    same = Window.partitionBy("key").orderBy("doc_id", "word", "start")
-    places = places.withColumn("dup_of", F.first("doc_id").over(same)).withColumn("nth", F.row_number().over(same)).withColumn("at", F.first("word").over(same))
-    later = places.where("nth > 1 and (doc_id <> dup_of or word <> at)").select("doc_id", "word", "start", "stop", "dup_of")
+
+        def places_of(rows: DataFrame) -> DataFrame:
+            return _places_by_shuffle(rows, again, match_words)
+
+    places, first = places_of(src), F.struct("doc_id", "word", "start")
+    hot = _hot(places_of(src.where(F.pmod(F.xxhash64("doc_id"), F.lit(_SAMPLE)) == 0)), hot_places)
+    if hot is None:
+        places = places.withColumn("known", F.lit(None).cast("struct<doc_id:bigint,word:int,start:int>")).withColumn("salt", F.lit(0))
+    else:
+        known = cut(places.join(hot, "key", "left_semi").groupBy("key").agg(F.min(first).alias("known")))
+        places = places.join(F.broadcast(known), "key", "left")
+        places = places.withColumn("salt", F.when(F.col("known").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "word"), F.lit(_SALTS))).cast("int"))
+    # all occurrences of a window meet, or parts of them do; every later one points to the first
+    same = Window.partitionBy("key", "salt").orderBy("doc_id", "word", "start")
+    places = places.withColumn("first", F.coalesce("known", F.first(first).over(same)))
+    # of rows that share an id and a place the first alone counts, so it goes by the place
+    later = places.where("doc_id <> first.doc_id or word <> first.word").select("doc_id", "word", "start", "stop", F.col("first.doc_id").alias("dup_of"))
     # consecutive windows with one source document form a passage
     run = Window.partitionBy("doc_id", "dup_of").orderBy("word", "start")
     gap = F.col("word") - F.lag("word").over(run)
@@ -171,6 +196,12 @@ def repeated_passages(docs: DataFrame, match_words: int = MATCH_WORDS, broadcast
     return found.select("doc_id", "start", "stop", "n_words", "dup_of")
 
 
+def _hot(some: DataFrame, hot_places: int) -> DataFrame | None:
+    """(key) of the windows that are likely to have more than ``hot_places`` places, to be broadcast; None if there are none."""
+    hot = cut(some.groupBy("key").count().where(F.col("count") > max(1, hot_places // _SAMPLE)).orderBy(F.desc("count")).limit(HOT_KEYS).select("key"))
+    return F.broadcast(hot) if hot.count() else None
+
+
 def _places_by_shuffle(src: DataFrame, again: DataFrame, match_words: int) -> DataFrame:
     """The full windows around repeated anchors, with anchors and their keys joined by a shuffle."""
     size = match_words - PERIOD + 1

@@ -60,6 +60,26 @@ def test_all_passages_against_brute_force(spark, seed, limit):
     assert got == brute(rows) and got
 
 
+@pytest.mark.parametrize("limit", [1 << 20, -1])
+def test_windows_of_very_many_places_are_spread_to_the_same_result(spark, limit, monkeypatch):
+    monkeypatch.setattr(substring, "_SAMPLE", 2)
+    common = " ".join(f"c{i}" for i in range(70))
+    rows = made(3) + [(1000 + i, f"own{i} " + common + f" end{i}") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert substring._hot(substring._places_by_shuffle(df, substring.repeated_anchors(df, M), M), 20).count() >= 21
+    got = sorted(tuple(r) for r in substring.repeated_passages(df, broadcast_keys=limit, hot_places=20).collect())
+    assert got == brute(rows)
+
+
+def test_texts_longer_than_a_slice(spark):
+    rng = random.Random(8)
+    shared = " ".join(f"s{rng.randrange(10**6)}" for _ in range(60))
+    long = " ".join(f"w{rng.randrange(10**7)}" for _ in range(200_000))
+    rows = [(1, long + " " + shared), (2, "x " + shared), (3, shared + " " + long[:2000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in substring.repeated_passages(df).collect()) == brute(rows)
+
+
 def test_cover_is_a_difference_cover():
     assert {(a - b) % substring.PERIOD for a in substring.COVER for b in substring.COVER} == set(range(substring.PERIOD))
 

@@ -158,7 +158,6 @@ def _finer(shards: int):
 def merged(blocks_: DataFrame, shards: int, result: Callable[[int, np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:
     """One call of ``result(shard, keys, counts)`` for each shard that has keys; its dict is the row."""
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
-    ranges = min(shards, PARTITIONS)
 
     def run(batches):
         now, held = None, _Sum()
@@ -180,7 +179,24 @@ def merged(blocks_: DataFrame, shards: int, result: Callable[[int, np.ndarray, n
     from pyspark.sql.types import StructType
 
     kind = to_arrow_schema(StructType.fromDDL(schema))
-    placed = blocks_.repartitionById(ranges, F.col("shard"))
-    if shards > ranges:
-        placed = placed.mapInArrow(_finer(shards), "shard int, block binary").sortWithinPartitions("shard")
-    return placed.mapInArrow(run, schema)
+    return placed(blocks_, shards, _finer(shards)).mapInArrow(run, schema)
+
+
+def placed(blocks_: DataFrame, shards: int, finer: Callable) -> DataFrame:
+    """Blocks (shard, block) by shard, a shard's blocks one after another; ``finer`` splits the blocks of ranges where there are more shards."""
+    out = blocks_.repartitionById(min(shards, PARTITIONS), F.col("shard"))
+    return out.mapInArrow(finer, "shard int, block binary").sortWithinPartitions("shard") if shards > PARTITIONS else out
+
+
+def planes(*columns: np.ndarray) -> bytes:
+    """Columns of one length, byte plane by byte plane."""
+    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
+
+
+def from_planes(block: bytes, *kinds) -> list[np.ndarray]:
+    size = [np.dtype(k).itemsize for k in kinds]
+    n, out, at = len(block) // sum(size), [], 0
+    for k, w in zip(kinds, size):
+        out.append(np.ascontiguousarray(np.frombuffer(block, np.uint8, n * w, at).reshape(w, n).T).view(k).ravel())
+        at += n * w
+    return out

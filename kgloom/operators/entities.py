@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_SALTS = 32
+
 
 def filter_entities(entities: DataFrame, criteria: dict[str, str | None]) -> DataFrame:
     """Entities that have every named property with the given value; an absent key fits nothing, not even None."""
@@ -23,12 +25,18 @@ def _key(name: str) -> Column:
 
 
 def join_entities(left: DataFrame, right: DataFrame, key: str = "identifier", how: str = "inner") -> DataFrame:
-    """(left, right) identifiers of entities whose key is equal; a missing property equals a missing one."""
+    """(left, right) identifiers of entities whose key is equal; a missing property equals a missing one.
+
+    So all entities without the property meet; their pairs are spread over
+    ``_SALTS`` tasks, each of which has a part of the left ones and all right ones.
+    """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     a = left.select(F.col("identifier").alias("left"), _key(key).alias("_a"))
     b = right.select(F.col("identifier").alias("right"), _key(key).alias("_b"))
-    return a.join(b, F.col("_a").eqNullSafe(F.col("_b")), how).select("left", "right")
+    a = a.withColumn("_s", F.when(F.col("_a").isNull(), F.pmod(F.xxhash64("left"), F.lit(_SALTS))).otherwise(0).cast("int"))
+    b = b.withColumn("_t", F.explode(F.when(F.col("_b").isNull(), F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return a.join(b, F.col("_a").eqNullSafe(F.col("_b")) & (F.col("_s") == F.col("_t")), how).select("left", "right")
 
 
 def aggregate_entities(entities: DataFrame, by: str, value: str) -> DataFrame:

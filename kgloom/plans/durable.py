@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if not sc.getCheckpointDir():
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="kgloom-"))
     return sc.getCheckpointDir().rstrip("/")

@@ -88,6 +88,7 @@ def mix(
     source: str = "source",
     doc_id: str = "doc_id",
     go_on: bool = True,
+    broadcast_buckets: int = 1 << 20,
 ) -> DataFrame:
     """The documents of the mixture with their ``mix_source``, ``mix_position`` and ``mix_phase``.
 
@@ -103,7 +104,9 @@ def mix(
 
     Rows that share an id are ordered by a hash of all their columns; equal
     rows are interchangeable. A null id counts as the text "null". Texts, also
-    null, empty and very long ones, are carried along. Input columns named
+    null, empty and very long ones, are carried along. The buckets' first ranks
+    are broadcast where there are at most ``broadcast_buckets``, else joined by a
+    shuffle, to the same result. Input columns named
     mix_source, mix_position or mix_phase give way. An empty table gives no rows.
     """
     if block_docs < 1:
@@ -143,7 +146,7 @@ def mix(
     asked = spark.createDataFrame([(s, q * block_docs) for s, q in quota.items()], "c string, quota long")
     starts = counts.withColumn("before", before).drop("count").join(F.broadcast(asked), "c").where("before < quota")
     # at most 16**digits rows a source, which is the number of rows over bucket_rows
-    rows = rows.join(F.broadcast(starts) if 16**digits * len(quota) <= 1 << 20 else starts, ["c", "b"])
+    rows = rows.join(F.broadcast(starts) if 16**digits * len(quota) <= broadcast_buckets else starts, ["c", "b"])
     rank = F.col("before") + F.row_number().over(Window.partitionBy("c", "b").orderBy("k", "tie")) - 1
     rows = rows.withColumn("rank", rank).where("rank < quota").withColumn("block", F.floor(F.col("rank") / block_docs).cast("long"))
     spans = F.broadcast(spark.createDataFrame(spans, "c string, phase int, lo long, hi long, w long, start long, period long")).alias("p")

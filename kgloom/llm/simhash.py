@@ -298,13 +298,14 @@ def _grouped(docs: DataFrame, radius: int, text: str, doc_id: str) -> DataFrame:
     return codes.join(named.join(first, "group").select("c0", "c1", "dup_of"), ["c0", "c1"]).where("doc_id <> dup_of")
 
 
-def near_dedup(docs: DataFrame, radius: int = RADIUS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_dedup(docs: DataFrame, radius: int = RADIUS, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = 1_000_000) -> DataFrame:
     """One document of each group of ``near_groups``; all columns stay.
 
     A row goes by its id and a hash of its text, so of several texts under an id
     only those go whose own group has a smaller id. Rows without a code stay, and
-    so do repeated rows of the document that is kept.
+    so do repeated rows of the document that is kept. Up to ``broadcast_rows`` rows
+    to remove are broadcast (16 bytes each); beyond, both sides are shuffled.
     """
     gone = _grouped(docs, radius, text, doc_id).select(F.struct("doc_id", "digest")).distinct()
     key = F.struct(names.col(docs, doc_id).cast("long").alias("doc_id"), F.xxhash64(names.col(docs, text)).alias("digest"))
-    return without(docs.withColumn("_key", key), F.col("_key"), gone, 1_000_000).select(*[f"`{c}`" for c in docs.columns])
+    return without(docs.withColumn("_key", key), F.col("_key"), gone, broadcast_rows).select(*[f"`{c}`" for c in docs.columns])

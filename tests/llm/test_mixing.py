@@ -47,6 +47,12 @@ def test_blocks_and_edges(spark):
             mixing.mix(df, bad)
 
 
+def test_ranks_by_shuffle_are_the_same(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, source string").repartition(3)
+    one, two = (sorted(tuple(r)[-3:] for r in mixing.mix(df, {"x": 3, "*": 4}, bucket_rows=4, broadcast_buckets=n).collect()) for n in (1 << 20, 0))
+    assert one == two and len(one) == len(ROWS)
+
+
 def test_null_empty_and_long_texts_stay_whole(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", None), (3, "w " * 500_000, "x"), (4, "a", "y")], "doc_id long, text string, source string")
     got = {r.doc_id: r.text for r in mixing.mix(df, {"x": 1, "*": 1}).collect()}

@@ -117,6 +117,12 @@ def test_edge_cases(spark):
     assert simhash.near_groups(df.where("false")).count() == 0
 
 
+def test_removal_by_shuffle_is_the_same(spark):
+    df = spark.createDataFrame(copies(4), "doc_id long, text string")
+    kept = [sorted(tuple(r) for r in simhash.near_dedup(df, broadcast_rows=n).collect()) for n in (1_000_000, -1)]
+    assert kept[0] == kept[1] and 100 < len(kept[0]) < df.count()
+
+
 def test_each_group_keeps_a_row_where_ids_repeat(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(100)) for x in ("left", "right"))
     df = spark.createDataFrame([(2, a), (5, a), (2, b), (1, b), (5, None)], "doc_id long, text string")

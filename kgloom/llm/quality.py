@@ -106,6 +106,7 @@ def _rest(hosts: pa.Array, texts: pa.Array, keep_share: float, hits) -> pa.Array
                 keep[i] = True
         n += len(text)
         parts.append(pa.StructArray.from_arrays([pa.array(keep), pa.array(new, pa.string()), pa.array(length, pa.int32())], fields=list(_ARROW)))
+    trim()
     return pa.concat_arrays(parts)
 
 
@@ -138,7 +139,9 @@ def remove_frequent_lines(
     find = {c.lower(): c for c in cols}
     t, h = names.col(docs, text), names.col(docs, host).cast("string")
     frequent = cut(frequent_lines(docs, share, min_docs, text, host))
-    rows = docs.select(names.carried(docs), t.alias("t"), h.alias("h")).where("t is not null")
+    # the text goes beside the other columns, so that a row holds it once
+    others = F.struct(*[docs[f"`{c}`"] for c in cols if c != find[text.lower()]]) if len(cols) > 1 else F.lit(None)
+    rows = docs.select(others.alias("_row"), t.alias("t"), h.alias("h")).where("t is not null")
     if frequent.count() <= broadcast_lines:
         held = docs.sparkSession.sparkContext.broadcast(np.sort(frequent.toArrow().column(0).to_numpy()))
 
@@ -155,7 +158,8 @@ def remove_frequent_lines(
 
             return _rest(hosts, texts, keep_share, hits)
 
-        rows = rows.withColumn("r", rest("h", "t"))
+        # said not to be deterministic, it isn't worked out once more for the filter
+        rows = rows.withColumn("r", rest.asNondeterministic()("h", "t"))
     else:
         rows = rows.withColumn("d", F.xxhash64("t", "h"))
 
@@ -173,7 +177,7 @@ def remove_frequent_lines(
         def rest(hosts: pa.Array, texts: pa.Array, bad: pa.Array) -> pa.Array:
             return _rest(hosts, texts, keep_share, lambda i, keys: np.isin(keys, np.array(bad[i].as_py() or [], np.int64)))
 
-        rows = rows.join(hits_, "d", "left").withColumn("r", rest("h", "t", "bad"))
+        rows = rows.join(hits_, "d", "left").withColumn("r", rest.asNondeterministic()("h", "t", "bad"))
     rows = rows.where("r.keep")
     out = []
     for c in cols:

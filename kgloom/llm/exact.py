@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.llm import names
+from kgloom.llm.counting import trim
 from kgloom.llm.words import U, mix
 from kgloom.plans.durable import cut
 
@@ -194,6 +195,8 @@ def _seen(batches):
         again.append(np.unique(d[~index.insert(d)]))
     live = index.live()
     yield pa.RecordBatch.from_arrays([pa.array(live.view(np.int64)), pa.array(np.isin(live, np.concatenate(again)))], ["digest", "again"])
+    del index, live, again
+    trim()
 
 
 def _repeats(batches):
@@ -206,6 +209,8 @@ def _repeats(batches):
     live = index.live()
     index.delete(live[~np.isin(live, np.concatenate(again))])
     yield pa.RecordBatch.from_arrays([pa.array(index.live().view(np.int64))], ["digest"])
+    del index, live, again
+    trim()
 
 
 def repeated_digests(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -123,7 +123,7 @@ class Forest:
             same[up[~(same[nodes] & (label[nodes] == label[up]))]] = False
         return same
 
-    def pairs(self, radius: int, label: np.ndarray | None = None, chunk: int = 1 << 16):
+    def pairs(self, radius: int, label: np.ndarray | None = None, chunk: int = 1 << 14):
         """Yields (query, node) index arrays of all pairs within ``radius``, query > node.
 
         With ``label``, subtrees that all bear the query's label are left out:
@@ -199,6 +199,8 @@ def _edges(radius: int):
                 yield solve(key[:last], node[:last], codes[:last])
         if held is not None:
             yield solve(*held)
+        del held
+        trim()
 
     return run
 

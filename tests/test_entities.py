@@ -1,8 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from kgloom import catalog
+from kgloom.catalog.views import entities
 from kgloom.operators import entities as en, graph
 from tests.conftest import rows
+from tests.oracle import compare, duck
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +31,21 @@ def test_missing_properties_join_each_other(e):
     assert rows(en.entity_statistics(e)) == [(4, 3, 1)]
 
 
+def test_classes_hold_the_pairs_of_the_join(spark, e):
+    few = e.where("identifier <> '4'")
+    for a, b, key, how in ((e, e, "name", "inner"), (e, few, "age", "left"), (few, e, "age", "inner"), (e, e.where("identifier = '1'"), "name", "left"), (e, e.where("false"), "age", "left")):
+        c = rows(en.entity_classes(a, b, key, how))
+        pairs = [(x[1], y[1]) for x in c for y in c if x[0] == "left" and y[0] == "right" and x[2] == y[2]] + [(x[1], None) for x in c if x[0] == "left" and not x[3]]
+        assert sorted(pairs, key=repr) == rows(en.join_entities(a, b, key, how)) and sum(x[3] for x in c if x[0] == "right") == sum(x[3] for x in c if x[0] == "left")
+
+
+@pytest.mark.parametrize("name", ["j6_entity_join_inner", "j6_entity_join_left"])
+def test_entity_joins_have_a_row_an_entity(spark, sf, name):
+    assert compare(spark, duck(sf), catalog.queries()[name], catalog.oracle_sql()[name], sf) is None
+    got = catalog.queries()[name](spark, sf)
+    assert got.groupBy("side", "identifier").count().where("count > 1").isEmpty() and got.count() <= 2 * entities(spark, sf).count()
+
+
 def test_pair_metrics(spark):
     p = spark.createDataFrame([("train", "1", "2", True, 0.9), ("train", "1", "3", False, 0.1), ("test", "2", "3", None, None)], "split string, id1 string, id2 string, is_match boolean, confidence double")
     assert ("total", 3, 1, 1, 1, 1 / 3, 1 / 3, 1 / 3) in rows(en.pair_metrics(p)) and ("train", 2, 1, 1, 0, 0.5, 0.5, 0.0) in rows(en.pair_metrics(p))

@@ -21,15 +21,24 @@ def typed_as(triples: DataFrame, types: list[str], short: bool = False) -> DataF
     return triples.where((is_type() if short else F.col("p") == RDF_TYPE) & F.col("o").isin(types)).select("s").distinct()
 
 
+def having(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is in the one column of ``keys``, which may repeat.
+
+    A task hashes its share of the keys and lets its rows pass by; sorted, the
+    rows would all be in its memory.
+    """
+    return rows.join(keys.toDF("_key").hint("shuffle_hash"), F.col(key) == F.col("_key"), "left_semi")
+
+
 def with_types(triples: DataFrame, types: list[str]) -> DataFrame:
     """All triples of subjects that have one of the types."""
-    return triples.join(typed_as(triples, types), "s", "left_semi")
+    return having(triples, "s", triples.where((F.col("p") == RDF_TYPE) & F.col("o").isin(types)).select("s"))
 
 
 def with_all_types(triples: DataFrame, types: list[str]) -> DataFrame:
     """All triples of subjects that have every one of the types."""
     found = triples.where((F.col("p") == RDF_TYPE) & F.col("o").isin(types)).groupBy("s").agg(F.count_distinct("o").alias("n")).where(F.col("n") == len(set(types)))
-    return triples.join(found, "s", "left_semi")
+    return having(triples, "s", found.select("s"))
 
 
 def only_types(triples: DataFrame, types: list[str]) -> DataFrame:
@@ -40,8 +49,7 @@ def only_types(triples: DataFrame, types: list[str]) -> DataFrame:
 def connected_objects(triples: DataFrame) -> DataFrame:
     """Literal and type triples, and those whose object is a subject somewhere."""
     keep = F.col("isLiteral") | is_type()
-    subjects = triples.select(F.col("s").alias("_s")).distinct()
-    return triples.where(keep).unionByName(triples.where(~keep).join(subjects, F.col("o") == F.col("_s"), "left_semi"))
+    return triples.where(keep).unionByName(having(triples.where(~keep), "o", triples.select("s").distinct()))
 
 
 def class_subgraph(triples: DataFrame, classes: list[str]) -> DataFrame:
@@ -50,9 +58,9 @@ def class_subgraph(triples: DataFrame, classes: list[str]) -> DataFrame:
     if not classes:
         raise ValueError("no class given")
     own = typed_as(triples, classes, short=True)
-    mine = triples.join(own, "s", "left_semi")
+    mine = having(triples, "s", own)
     keep = F.col("isLiteral") | (is_type() & F.col("o").isin(classes))
-    links = mine.where(~keep).join(own.select(F.col("s").alias("_s")), F.col("o") == F.col("_s"), "left_semi")
+    links = having(mine.where(~keep), "o", own)
     return mine.where(keep).unionByName(links).distinct()
 
 
@@ -72,7 +80,7 @@ def by_namespace(triples: DataFrame) -> DataFrame:
 
 def untyped_removed(triples: DataFrame) -> DataFrame:
     """Triples of subjects with any type."""
-    return triples.join(triples.where(is_type()).select("s").distinct(), "s", "left_semi")
+    return having(triples, "s", triples.where(is_type()).select("s"))
 
 
 def types_from_relations(triples: DataFrame, domains: dict[str, str], ranges: dict[str, str]) -> DataFrame:

@@ -95,3 +95,10 @@ def test_schema_is_exact(spark, t):
         schema.require(t.drop("o"), schema.TRIPLES)
     with pytest.raises(ValueError):
         schema.require(t.withColumn("g", F.lit(1)), schema.TRIPLES)
+
+
+def test_rows_pass_by_hashed_keys(spark):
+    """Sorted, the rows would be in the tasks' memory."""
+    t = spark.createDataFrame([("<a>", tr.RDF_TYPE, "<X>", False), ("<a>", "a", "<Y>", False), ("<a>", "<p>", "<b>", False), ("<a>", "<p>", "<b>", False), ("<b>", "<p>", "<c>", False)], "s string, p string, o string, isLiteral boolean")
+    for df, n in ((tr.untyped_removed(t), 4), (tr.with_types(t, ["<X>"]), 4), (tr.connected_objects(t), 4)):
+        assert df.count() == n and "SortMergeJoin" not in df._jdf.queryExecution().toString()

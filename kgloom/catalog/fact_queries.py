@@ -12,7 +12,6 @@ from kgloom.operators.graph import vertex_windows
 from kgloom.sources import wiki
 from kgloom.vocab import OPEN_END
 
-EXACT = 1_000_000  # quantile accuracy at which the driver's tables give the exact rank
 YEARS = range(1995, 2002)
 TS = 883612800  # 1998-01-01
 _A = "head, rel, tail, rStart, rEnd, tStart, tEnd"
@@ -141,12 +140,12 @@ SELECT CAST(y - 1 AS INTEGER) AS prevYear, CAST(y AS INTEGER) AS currYear, coale
     ("a9_changes_over_time", _on(st.changes_over_time), f"SELECT {_stamp('t', _SEC)} AS time, count(*) AS count FROM (SELECT tStart AS t FROM facts UNION ALL SELECT tEnd FROM facts) x GROUP BY ALL"),
     ("a10_in_degree_frequency", _on(lambda f: st.degree_frequency(f, incoming=True)), f"SELECT year, degree, count(*) AS count FROM {_IN} x GROUP BY ALL"),
     ("a10_in_degree_frequency_by_subject", _on(lambda f: st.degree_frequency(f, incoming=True, known=True)), f"SELECT year, degree, count(*) AS count FROM {_KNOWN} x GROUP BY ALL"),
-    ("a11_in_degree_distribution", _on(lambda f: st.degree_distribution(f, incoming=True, accuracy=EXACT)), f"SELECT year, {_spread('degree')} FROM {_IN} x GROUP BY year"),
+    ("a11_in_degree_distribution", _on(lambda f: st.degree_distribution(f, incoming=True)), f"SELECT year, {_spread('degree')} FROM {_IN} x GROUP BY year"),
     ("a12_out_degree_frequency", _on(lambda f: st.degree_frequency(f, incoming=False)), f"SELECT year, degree, count(*) AS count FROM {_OUT} x GROUP BY ALL"),
-    ("a13_out_degree_distribution", _on(lambda f: st.degree_distribution(f, incoming=False, accuracy=EXACT)), f"SELECT year, {_spread('degree')} FROM {_OUT} x GROUP BY year"),
-    ("a14_span_over_time", _on(lambda f: _doubles(st.activity_span(f, by_year=True, accuracy=EXACT))),
+    ("a13_out_degree_distribution", _on(lambda f: st.degree_distribution(f, incoming=False)), f"SELECT year, {_spread('degree')} FROM {_OUT} x GROUP BY year"),
+    ("a14_span_over_time", _on(lambda f: _doubles(st.activity_span(f, by_year=True))),
      f"SELECT year({_at('tStart')}) AS year, {_SPANS} FROM facts WHERE tStart <= tEnd GROUP BY ALL"),
-    ("a15_span", _on(lambda f: _doubles(st.activity_span(f, accuracy=EXACT))), f"SELECT {_SPANS} FROM facts WHERE tStart <= tEnd"),
+    ("a15_span", _on(lambda f: _doubles(st.activity_span(f))), f"SELECT {_SPANS} FROM facts WHERE tStart <= tEnd"),
     ("a16_subjects_by_year", _on(lambda f: st.parts_over_time(f, "subject")), _parts("head", False)),
     ("a16_predicates_by_month", _on(lambda f: st.parts_over_time(f, "predicate", monthly=True)), _parts("rel", True)),
     ("a16_objects_by_year", _on(lambda f: st.parts_over_time(f, "object")), _parts("tail", False)),
@@ -155,7 +154,7 @@ SELECT CAST(y - 1 AS INTEGER) AS prevYear, CAST(y AS INTEGER) AS currYear, coale
 count(DISTINCT rel) AS distRelations, (SELECT count(*) FROM (SELECT tStart FROM facts UNION SELECT tEnd FROM facts) y) AS distVersions FROM facts"""),
     ("a19_window_days", _on(st.window_days), f"SELECT {_stamp('tStart', '%Y-%m-%d')} AS startDay, {_stamp('tEnd', '%Y-%m-%d')} AS endDay, count(*) AS count FROM facts GROUP BY ALL"),
     ("a20_window_hours", _on(st.window_hours), _HOURS),
-    ("a21_property_changes", _on(lambda f: st.property_changes(f, EXACT)),
+    ("a21_property_changes", _on(lambda f: st.property_changes(f)),
      """SELECT rel, avg(n) AS avg, min(n) AS min, max(n) AS max, quantile_disc(n, 0.25) AS q25, quantile_disc(n, 0.5) AS median, quantile_disc(n, 0.75) AS q75, CAST(sum(n) AS BIGINT) AS total_changes
 FROM (SELECT head, rel, count(DISTINCT (tStart, tEnd)) - 1 AS n FROM facts WHERE NOT starts_with(rel, 'http://dbpedia.org/property') GROUP BY ALL) x GROUP BY rel"""),
     ("a22_namespace_revisions", _on(lambda r: st.namespace_counts(r, "id"), "revisions"), "SELECT namespace, count(DISTINCT id) AS count FROM revisions GROUP BY namespace"),
@@ -168,7 +167,7 @@ FROM (SELECT head, rel, count(DISTINCT (tStart, tEnd)) - 1 AS n FROM facts WHERE
      f"SELECT CAST(year AS INTEGER) AS year, degree, count(*) AS heads FROM (SELECT year, head, count(tail) AS degree FROM ({_SNAP}) x WHERE NOT starts_with(tail, '\"') GROUP BY ALL) y GROUP BY ALL"),
     ("a39_hour_bins", _on(st.hour_bins), f"""SELECT CASE WHEN hours < 1 THEN '<1h' WHEN hours < 24 THEN '1h-1d' WHEN hours < 168 THEN '1d-1w' WHEN hours < 720 THEN '1w-30d' WHEN hours < 8760 THEN '30d-1y' WHEN hours < 43800 THEN '1y-5y' ELSE '>=5y' END AS bin,
 CAST(sum(count) AS BIGINT) AS count FROM ({_HOURS}) x GROUP BY bin"""),
-    ("a39_iqr_fence", _on(lambda f: st.below_fence(st.window_hours(f), "count", EXACT)),
+    ("a39_iqr_fence", _on(lambda f: st.below_fence(st.window_hours(f), "count")),
      f"WITH h AS ({_HOURS}), q AS (SELECT quantile_disc(count, 0.25) AS a, quantile_disc(count, 0.75) AS b FROM h) SELECT hours, count FROM h, q WHERE count <= b + 1.5 * (b - a)"),
     ("k8_trim_tail", _on(serialize.trimmed_tails), "SELECT head, rel, CASE WHEN starts_with(tail, '\"') THEN tail ELSE left(tail, length(tail) - 1) END AS tail, rStart, rEnd, tStart, tEnd FROM facts"),
     ("k9_nquads", _on(serialize.nquads), _ROWS([f"'<' || head || '> <' || rel || '> ' || {_OBJ} || ' <{_K}' || rStart || '-' || rEnd || '> .'"] + [f"""'<{_K}' || rStart || '-' || rEnd || '> <{_K}{n}> "' || {_LINE(t)} || '"^^<{_X}dateTime> <{_K}> .'""" for n, t in (("start", "tStart"), ("end", "tEnd"))])),

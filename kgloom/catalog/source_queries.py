@@ -343,7 +343,7 @@ WHERE regexp_matches(value, '{text._STRICT}')"""),
     ("f10_terms", lambda spark, sf: spark.createDataFrame([(i, cli.term(t)) for i, t in enumerate(_TERMS)], "place int, term string"), _values(list(enumerate(_GOT)), "place, term")),
     ("u5_ordered_dedup", lambda spark, sf: spark.createDataFrame(list(enumerate(cli.unique([cli.term(t) for t in _TERMS]))), "place int, term string"), _values(list(enumerate(dict.fromkeys(_GOT))), "place, term")),
     ("j11_loaded_edges", lambda spark, sf: graph.loaded_edges(spark_view(spark, sf, "edges"), spark_view(spark, sf, "entity_ids")), _KNOWN.format("")),
-    ("l7_top_properties", lambda spark, sf: st.top_properties(spark_view(spark, sf, "facts"), 3, fq.EXACT),
+    ("l7_top_properties", lambda spark, sf: st.top_properties(spark_view(spark, sf, "facts"), 3),
      fq.QUERIES[[q[0] for q in fq.QUERIES].index("a21_property_changes")][2] + " ORDER BY median DESC, rel LIMIT 3"),
     ("l8_locality", _local_runs, "SELECT pid, count(*) AS revisions, true AS ordered FROM all_versions GROUP BY pid"),
     ("t4_endpoints", _endpoints, "SELECT 1::BIGINT AS endpoints, 1::BIGINT AS tasks, count(DISTINCT pid) AS pages FROM all_versions"),

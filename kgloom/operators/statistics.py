@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kgloom.functions.literals import instant
 from kgloom.operators.temporal import TRIPLE, resources
+from kgloom.plans.durable import by_key, cut
 from kgloom.vocab import DBP, OPEN_END, PAGE_ID, RDF_TYPE_IRI
 
 SECOND, DAY, MONTH, YEAR = "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy-MM", "yyyy"
@@ -20,10 +21,53 @@ def stamp(t: Column, pattern: str) -> Column:
     return F.when(t == OPEN_END, F.lit("open")).otherwise(F.date_format(instant(t), pattern))
 
 
-def spread(x: str, *, accuracy: int = 10_000) -> list[Column]:
-    """Mean, median, deviation, extremes and quartiles of a column; quantiles are values that occur."""
-    q = lambda p, n: F.percentile_approx(x, p, accuracy).alias(n)
-    return [F.avg(x).alias("mean"), q(0.5, "median"), F.stddev(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), q(0.25, "q25"), q(0.75, "q75")]
+def quantiles(counts: DataFrame, by: list[str], x: str, points: dict[str, float]) -> DataFrame:
+    """(by, points): exact quantiles of a long, values that occur, from (by, x, n) with each value once and its count.
+
+    Ranks are looked up first among ranges of 2^16 values, then within the
+    ranges they fall into, so no task holds all values of a group.
+    """
+    counts = counts.where(F.col(x).isNotNull()).withColumn("_range", F.shiftright(x, 16))
+    own = Window.partitionBy(*by)
+    sums = counts.groupBy(*by, "_range").agg(F.sum("n").alias("m"))
+    sums = sums.withColumns({"end": F.sum("m").over(own.orderBy("_range")), "total": F.sum("m").over(own)})
+    rank = lambda p: F.greatest(F.lit(1), F.ceil(F.col("total") * p)).cast("long")
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), (rank(p) - F.col("end") + F.col("m")).alias("rank")) for k, p in points.items()]))
+    asked = sums.withColumn("q", asked).where((F.col("q.rank") > 0) & (F.col("q.rank") <= F.col("m")))
+    asked = asked.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_range").alias("_r"), "q.name", "q.rank")
+    same = F.col("_range") == F.col("_r")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    near = counts.join(asked, same).withColumn("upto", F.sum("n").over(Window.partitionBy(*by, "name").orderBy(x)))
+    found = near.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("name") == k, F.col(x))).alias(k) for k in points])
+
+
+def _matched(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of equal ``by``, missing ones included; one row each."""
+    if not by:
+        return a.crossJoin(b)
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return a.join(b.withColumnsRenamed({c: f"_{c}" for c in by}), same, "left").drop(*[f"_{c}" for c in by])
+
+
+_QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+
+
+def spread(rows: DataFrame, by: list[str], x: str) -> DataFrame:
+    """(by, mean, median, std, min, max, q25, q75) of a long; quantiles are exact and values that occur.
+
+    Each value is counted once, and the counts are kept: all else is worked out from them.
+    """
+    counts = cut(rows.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("n")))
+    v = F.col(x).cast("double")
+    means = counts.groupBy(*by).agg((F.sum(v * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("total"), F.min(x).alias("min"), F.max(x).alias("max"))
+    off = _matched(counts, means.select(*by, "mean"), by).groupBy(*by).agg(F.sum(F.col("n") * (v - F.col("mean")) * (v - F.col("mean"))).alias("off"))
+    out = _matched(_matched(means, off, by), quantiles(counts, by, x, _QUARTILES), by)
+    std = F.when(F.col("total") > 1, F.sqrt(F.col("off") / (F.col("total") - 1)))
+    return out.select(*by, "mean", "median", std.alias("std"), "min", "max", "q25", "q75")
 
 
 def unique_windows(facts: DataFrame) -> DataFrame:
@@ -41,7 +85,11 @@ def revisions_per_page(facts: DataFrame) -> DataFrame:
 
 
 def changes_per_predicate(facts: DataFrame) -> DataFrame:
-    return facts.groupBy("head", "rel").agg(F.count_distinct("tail").alias("unique_changes"), F.count_distinct("rStart", "rEnd").alias("all_changes"))
+    value = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    none = F.lit(None).cast("string")
+    values = F.array(F.when(F.col("tail").isNotNull(), value("tail", F.col("tail"), none)), F.when(F.col("rStart").isNotNull() & F.col("rEnd").isNotNull(), value("window", F.col("rStart"), F.col("rEnd"))))
+    seen = by_key(facts, "head", "rel").select("head", "rel", F.explode(values).alias("v")).distinct()
+    return seen.groupBy("head", "rel").agg(F.count_if(F.col("v.kind") == "tail").alias("unique_changes"), F.count_if(F.col("v.kind") == "window").alias("all_changes"))
 
 
 def revisions_over_time(facts: DataFrame, end: bool = False) -> DataFrame:
@@ -53,7 +101,7 @@ def revisions_over_time(facts: DataFrame, end: bool = False) -> DataFrame:
 def triples_over_time(facts: DataFrame, end: bool = False) -> DataFrame:
     """(year, count): distinct (second, triple) by the year in which windows open (or close)."""
     t = F.col("tEnd") if end else F.col("tStart")
-    return facts.select(t.alias("t"), *TRIPLE).distinct().groupBy(stamp(F.col("t"), YEAR).alias("year")).agg(F.count("*").alias("count"))
+    return by_key(facts.select(t.alias("t"), *TRIPLE), *TRIPLE).distinct().groupBy(stamp(F.col("t"), YEAR).alias("year")).agg(F.count("*").alias("count"))
 
 
 def changes_over_time(facts: DataFrame) -> DataFrame:
@@ -72,18 +120,17 @@ def degree_frequency(facts: DataFrame, incoming: bool, known: bool = False) -> D
     return _degrees(facts, incoming, known).groupBy("year", "degree").agg(F.count("*").alias("count"))
 
 
-def degree_distribution(facts: DataFrame, incoming: bool, known: bool = False, accuracy: int = 10_000) -> DataFrame:
-    return _degrees(facts, incoming, known).groupBy("year").agg(*spread("degree", accuracy=accuracy))
+def degree_distribution(facts: DataFrame, incoming: bool, known: bool = False) -> DataFrame:
+    return spread(_degrees(facts, incoming, known), ["year"], "degree")
 
 
 def _spans(facts: DataFrame) -> DataFrame:
     return facts.where(F.col("tStart") <= F.col("tEnd")).withColumn("duration", F.try_subtract(F.col("tEnd"), F.col("tStart")))
 
 
-def activity_span(facts: DataFrame, by_year: bool = False, accuracy: int = 10_000) -> DataFrame:
+def activity_span(facts: DataFrame, by_year: bool = False) -> DataFrame:
     """Spread of window lengths in seconds, over all or by the year of opening; open windows count as they are."""
-    rows = _spans(facts)
-    return (rows.groupBy(F.year(instant(F.col("tStart"))).alias("year")) if by_year else rows).agg(*spread("duration", accuracy=accuracy))
+    return spread(_spans(facts).withColumn("year", F.year(instant(F.col("tStart")))), ["year"] if by_year else [], "duration")
 
 
 def parts_over_time(facts: DataFrame, part: str, monthly: bool = False) -> DataFrame:
@@ -158,16 +205,19 @@ def window_hours(facts: DataFrame) -> DataFrame:
     return facts.where((F.col("tEnd") < OPEN_END) & (F.col("tEnd") >= F.col("tStart"))).groupBy(hours.alias("hours")).agg(F.count("*").alias("count"))
 
 
-def property_changes(facts: DataFrame, accuracy: int = 10_000) -> DataFrame:
+def property_changes(facts: DataFrame) -> DataFrame:
     """Per relation, how often its subjects' values changed: distinct windows less one."""
-    each = facts.where(~F.col("rel").startswith(DBP)).groupBy("head", "rel").agg((F.count_distinct("tStart", "tEnd") - 1).alias("n"))
-    q = lambda p, name: F.percentile_approx("n", p, accuracy).alias(name)
-    return each.groupBy("rel").agg(F.avg("n").alias("avg"), F.min("n").alias("min"), F.max("n").alias("max"), q(0.25, "q25"), q(0.5, "median"), q(0.75, "q75"), F.sum("n").alias("total_changes"))
+    rows = by_key(facts.where(~F.col("rel").startswith(DBP)).select("head", "rel", "tStart", "tEnd"), "head", "rel")
+    each = rows.groupBy("head", "rel").agg((F.count_distinct("tStart", "tEnd") - 1).alias("n"))
+    counts = cut(each.select("rel", F.col("n").alias("x")).groupBy("rel", "x").agg(F.count("*").alias("n")))
+    total = F.sum(F.col("x") * F.col("n"))
+    out = counts.groupBy("rel").agg((total.cast("double") / F.sum("n")).alias("avg"), F.min("x").alias("min"), F.max("x").alias("max"), total.alias("total_changes"))
+    return _matched(out, quantiles(counts, ["rel"], "x", _QUARTILES), ["rel"]).select("rel", "avg", "min", "max", "q25", "median", "q75", "total_changes")
 
 
-def top_properties(facts: DataFrame, n: int = 20, accuracy: int = 10_000) -> DataFrame:
+def top_properties(facts: DataFrame, n: int = 20) -> DataFrame:
     """The n relations whose values change most often by median, ties by name; a report."""
-    return property_changes(facts, accuracy).orderBy(F.desc("median"), "rel").limit(n)
+    return property_changes(facts).orderBy(F.desc("median"), "rel").limit(n)
 
 
 # revision metadata: (id, pageid, timestamp as ISO-8601 text, namespace)
@@ -204,9 +254,9 @@ def hour_bins(facts: DataFrame) -> DataFrame:
     return window_hours(facts).groupBy(label.alias("bin")).agg(F.sum("count").alias("count"))
 
 
-def below_fence(rows: DataFrame, column: str, accuracy: int = 10_000) -> DataFrame:
+def below_fence(rows: DataFrame, column: str) -> DataFrame:
     """Rows up to the upper fence q75 + 1.5 (q75 - q25) of a column."""
-    q = rows.agg(F.percentile_approx(column, 0.25, accuracy).alias("q25"), F.percentile_approx(column, 0.75, accuracy).alias("q75"))
+    q = quantiles(rows.groupBy(F.col(column).alias("x")).agg(F.count("*").alias("n")), [], "x", {"q25": 0.25, "q75": 0.75})
     fence = q.select((F.col("q75") + 1.5 * (F.col("q75") - F.col("q25"))).alias("_fence"))
     return rows.crossJoin(F.broadcast(fence)).where(F.col(column) <= F.col("_fence")).drop("_fence")
 

@@ -1,11 +1,13 @@
 """Golden values over a 13-row fixture, and properties of windows and differences."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from kgloom.operators import serialize, statistics as st, temporal as tp
+from kgloom.plans.durable import by_key
 from kgloom.vocab import OPEN_END, PAGE_ID
 from tests.conftest import rows
 
@@ -92,3 +94,25 @@ def test_windows_against_replay(spark, seed):
 def test_numbers_follow_the_order(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(5)
     assert [(r.x, r.n) for r in serialize.numbered(df, ["x"]).orderBy("x").collect()] == [(i, i) for i in range(1000)]
+
+
+def test_quartiles_are_exact(spark):
+    far = spark.range(0, 60_000, 1, 3).select((F.col("id") * 70_001).alias("tEnd"), F.lit(0).cast("long").alias("tStart"))
+    r = st.activity_span(far.union(spark.createDataFrame([(OPEN_END, 0), (5, 9)], "tEnd long, tStart long"))).first()
+    at = lambda p: (math.ceil(60_001 * p) - 1) * 70_001
+    assert (r.q25, r.median, r.q75, r.min, r.max) == (at(0.25), at(0.5), at(0.75), 0, OPEN_END)
+    one = st.activity_span(spark.createDataFrame([(3, 1)], "tEnd long, tStart long"), by_year=True).first()
+    assert (one.year, one.mean, one.median, one["std"], one.q75) == (1970, 2.0, 2, None, 2)
+
+
+def test_parts_follow_the_files(spark, tmp_path):
+    spark.range(50_000).select(F.col("id").cast("string").alias("head"), F.lit("r").alias("rel"), F.col("id").cast("string").alias("tail"), F.col("id").alias("tStart")).write.parquet(str(tmp_path / "f"))
+    f = spark.read.parquet(str(tmp_path / "f"))
+    assert by_key(f, "head", part_bytes=20_000).rdd.getNumPartitions() > 8 and by_key(f, "head").rdd.getNumPartitions() == f.rdd.getNumPartitions()
+    assert by_key(f, "head", part_bytes=20_000, most=6).rdd.getNumPartitions() == 6 and st.triples_over_time(f).first()["count"] == 50_000
+
+
+def test_changes_are_counted_without_copies_of_the_rows(spark):
+    f = spark.createDataFrame([("a", "r", "x", "1", "2"), ("a", "r", "x", "1", None), ("a", "r", None, "1", "2"), ("a", "r", "y", "3", "2"), ("b", "r", None, None, "1")], "head string, rel string, tail string, rStart string, rEnd string")
+    df = st.changes_per_predicate(f)
+    assert sorted(map(tuple, df.collect())) == [("a", "r", 2, 2)] + [("b", "r", 0, 0)] and "Expand" not in df._jdf.queryExecution().toString()

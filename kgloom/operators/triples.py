@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.functions.literals import any_property, is_literal
+from kgloom.plans.durable import more_parts
 from kgloom.vocab import DBO, RDF_TYPE, RDFS_LABEL
 
 def is_type() -> Column:
@@ -176,13 +177,17 @@ def nested(triples: DataFrame, depth: int = 1) -> DataFrame:
     if depth < 0:
         raise ValueError("depth can't be negative")
     quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
-    facts = triples.select("s", "p", "o").distinct()
+    n = more_parts(triples, most=200)
+    met = lambda rows: rows.repartition(n, "s") if n else rows.repartition("s")
+    facts = met(triples.select("s", "p", "o")).distinct()
+    inner = having(facts, "s", facts.select("o").distinct())
     level = None
-    for _ in range(depth + 1):
-        rows = facts.withColumn("v", quoted(F.col("o")))
+    for k in range(depth + 1):
+        rows = facts if k == depth else inner
         if level is not None:
-            rows = facts.join(level.select(F.col("s").alias("o"), "json"), "o", "left").select("s", "p", "o", F.coalesce("json", quoted(F.col("o"))).alias("v"))
-        each = rows.groupBy("s", "p").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "v"))), lambda x: x["v"]).alias("vs"))
+            rows = met(rows.join(level.select(F.col("s").alias("o"), "json"), "o", "left").select("s", "p", "o", "json"))
+        value = quoted(F.col("o")) if level is None else F.coalesce("json", quoted(F.col("o")))
+        each = rows.groupBy("s", "p").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", value.alias("v")))), lambda x: x["v"]).alias("vs"))
         entry = F.concat(quoted(F.col("p")), F.lit(":["), F.array_join("vs", ","), F.lit("]"))
         level = each.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("p", entry.alias("e")))).alias("es"))
         level = level.select("s", F.concat(F.lit('{"@id":'), quoted(F.col("s")), F.lit(","), F.array_join(F.transform("es", lambda x: x["e"]), ","), F.lit("}")).alias("json"))

@@ -12,7 +12,7 @@ from kgloom.catalog import entity_queries as eq, fact_queries as fq, triple_quer
 from kgloom.catalog.views import DBO, LABEL, RDF, entities, spark_view
 from kgloom.operators import graph, layout, sampling, serialize, statistics as st
 from kgloom.operators.schema_graph import schema_graph
-from kgloom.plans.durable import shared_folder
+from kgloom.plans.durable import parts, shared_folder
 from kgloom.sources import bundle, graph_folder, linkage, ontology, text, wiki
 
 
@@ -54,13 +54,13 @@ def _strict(spark, sf):
 
 
 def _dump(spark, sf):
-    """Every page in one of several dump files."""
+    """Every page in one of several dump files: three, or one for each 4 MB of the tables where those are more."""
     pages, folder = fq._pages(spark, sf), _folder(spark)
-    ends = spark.createDataFrame([(0, "<mediawiki>"), (2, "</mediawiki>")], "k int, value string")
-    for k in range(3):
-        mine = pages.where(F.pmod(F.xxhash64("xml"), F.lit(3)) == k).select(F.lit(1).alias("k"), F.col("xml").alias("value"))
-        mine.union(ends).coalesce(1).sortWithinPartitions("k").select("value").write.text(f"{folder}/dump-{k}.xml")
-    return wiki.revisions(wiki.read_dump(spark, f"{folder}/dump-*.xml"))
+    n = max(3, parts(pages, 4 << 20))
+    ends = spark.range(n).select(F.col("id").cast("int").alias("file"), F.explode(F.expr("map(0, '<mediawiki>', 2, '</mediawiki>')")).alias("k", "value"))
+    mine = pages.select(F.pmod(F.xxhash64("xml"), F.lit(n)).cast("int").alias("file"), F.lit(1).alias("k"), F.col("xml").alias("value"))
+    mine.union(ends).repartition(n, "file").sortWithinPartitions("file", "k").select("file", "value").write.partitionBy("file").text(folder)
+    return wiki.revisions(wiki.read_dump(spark, f"{folder}/file=*"))
 
 
 def _compressed(spark, sf):

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgloom.plans.durable import parts
 from kgloom.schema import FACTS
 
+PART = 64 << 20
+
 _STRICT = r'^\s*(?:<[^>\s]*>|_:\S+)\s+<[^>\s]*>\s+(?:<[^>\s]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9\-]+|\^\^<[^>\s]*>)?)\s*\.\s*$'
 
 
@@ -74,13 +77,13 @@ def write_ntriples(triples: DataFrame, path: str, compression: str | None = None
 
 
 def write_extraction(facts: DataFrame, path: str, form: str = "csv") -> None:
-    """Extracted facts as CSV with a header, or as quads (``ngraph``)."""
+    """Extracted facts as CSV with a header, or as quads (``ngraph``), compressed as their lines repeat each other."""
     if form == "csv":
         facts.write.mode("errorifexists").csv(path, header=True)
     elif form == "ngraph":
         from kgloom.operators.serialize import nquads
 
-        nquads(facts).write.mode("errorifexists").text(path)
+        nquads(facts).write.mode("errorifexists").text(path, compression="gzip")
     else:
         raise ValueError(f"unknown form {form!r}")
 
@@ -91,10 +94,13 @@ def write_report(df: DataFrame, folder: str, name: str, files: int | None = 1) -
 
 
 def convert(spark: SparkSession, source: str, target: str, kind: str, to: str = "parquet", partitions: int | None = None) -> int:
-    """A table in another format; returns the number of rows written, which must equal those read."""
+    """A table in another format; returns the number of rows written, which must equal those read.
+
+    ``partitions``: as many parts, or one for each ``PART`` bytes of the source where those are more.
+    """
     df = spark.read.format(kind).options(header=True, inferSchema=False).load(source) if kind == "csv" else spark.read.format(kind).load(source)
     n = df.count()
-    out = df.repartition(partitions) if partitions else df
+    out = df.repartition(max(partitions, parts(df, PART))) if partitions else df
     out.write.mode("errorifexists").options(header=True).format(to).save(target)
     back = (spark.read.options(header=True) if to == "csv" else spark.read).format(to).load(target).count()
     if back != n:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.functions.literals import literal_lang, literal_number, literal_value
+from kgloom.plans.durable import by_key, more_parts, written
 from kgloom.vocab import DBO, RDF_TYPE, RDFS_LABEL
 
 LAYOUTS = {"all": [], "predicate": ["predicate_hash"], "type": ["type_hash"], "type_predicate": ["type_hash", "predicate_hash"]}
@@ -14,7 +15,7 @@ LAYOUTS = {"all": [], "predicate": ["predicate_hash"], "type": ["type_hash"], "t
 def typed_triples(triples: DataFrame) -> DataFrame:
     """Each triple with each type of its subject; those of untyped subjects drop out."""
     types = triples.where(F.col("p") == RDF_TYPE).select("s", F.col("o").alias("type")).distinct()
-    return triples.join(types, "s")
+    return triples.join(types.hint("shuffle_hash"), "s")  # sorted, the triples would be in the tasks' memory
 
 
 def write_layout(triples: DataFrame, path: str, layout: str) -> None:
@@ -24,8 +25,10 @@ def write_layout(triples: DataFrame, path: str, layout: str) -> None:
     if "predicate_hash" in LAYOUTS[layout]:
         triples = triples.withColumn("predicate_hash", F.sha2("p", 256))
     by = LAYOUTS[layout]
-    # hash keys have few values: rows spread over a key's files by subject
-    writer = (triples.repartition(*by, F.pmod(F.xxhash64("s"), F.lit(8))) if by else triples).write
+    # hash keys have few values: rows spread over a key's files by subject; a task sorts its rows, so it takes few
+    n = more_parts(triples, most=200)
+    spread = [*by, F.pmod(F.xxhash64("s"), F.lit(max(8, n or 0)))]
+    writer = ((triples.repartition(n, *spread) if n else triples.repartition(*spread)) if by else triples).write
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
@@ -42,7 +45,7 @@ def read_layout(spark, path: str, layout: str, predicates: list[str] | None = No
     if types is not None and "type_hash" in LAYOUTS[layout]:
         df = df.where(F.col("type_hash").isin(digest(types)))
     out = df.select("s", "p", "o", "isLiteral")
-    return out.distinct() if "type_hash" in LAYOUTS[layout] else out
+    return by_key(out, "s", most=200).distinct() if "type_hash" in LAYOUTS[layout] else out
 
 
 def _labels(triples: DataFrame, lang: str = "en") -> DataFrame:
@@ -88,7 +91,7 @@ def overlaps(spark, folder: str, runs: dict) -> DataFrame:
     """
     out = None
     for name, (query, predicates, types) in runs.items():
-        base = query(read_layout(spark, f"{folder}/all", "all")).distinct()
+        base = written(query(read_layout(spark, f"{folder}/all", "all")).distinct(), "base")
         for layout in LAYOUTS:
             got = query(read_layout(spark, f"{folder}/{layout}", layout, predicates, types)).distinct()
             rows = got.join(base.withColumn("_in", F.lit(1)), got.columns, "left").agg(F.lit(layout).alias("layout"), F.lit(name).alias("query"), F.count("*").alias("rows"), F.count("_in").alias("shared"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from kgloom.plans.durable import written
+
 
 def write_bundle(folder: str, subsets: DataFrame, triples: DataFrame, texts: DataFrame, seed_split: int = 0) -> DataFrame:
     """Writes a bundle and returns its manifest (split, part, rows, entities), counted from the files.
@@ -18,6 +20,11 @@ def write_bundle(folder: str, subsets: DataFrame, triples: DataFrame, texts: Dat
     written is an error.
     """
     spark = subsets.sparkSession
+    # each input is gone through once: the parts are made of what the subsets have of it
+    subsets = written(subsets, "subsets")
+    own = subsets.select("s").distinct()
+    triples = written(triples.join(own, "s", "left_semi"), "own")
+    texts = written(texts.join(own, "s", "left_semi"), "texts")
     rdf = triples.join(subsets, "s")
     last = subsets.agg(F.max("split")).first()[0]
     first = subsets.groupBy("s").agg(F.min("split").alias("split"))
@@ -31,9 +38,10 @@ def write_bundle(folder: str, subsets: DataFrame, triples: DataFrame, texts: Dat
     }
     manifest = None
     for name, df in parts.items():
-        df.write.mode("errorifexists").partitionBy("split").parquet(f"{folder}/{name}")
+        seen = Observation()
+        df.observe(seen, F.count("*").alias("n")).write.mode("errorifexists").partitionBy("split").parquet(f"{folder}/{name}")
         back = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-        if back.count() != df.count():
+        if back.count() != seen.get["n"]:
             raise OSError(f"{folder}/{name} doesn't hold what was written")
         rows = back.groupBy("split").agg(F.count("*").alias("rows"), F.count_distinct("s").alias("entities")).select("split", F.lit(name).alias("part"), "rows", "entities")
         manifest = rows if manifest is None else manifest.unionByName(rows)

@@ -48,7 +48,8 @@ def nquads(facts: DataFrame) -> DataFrame:
 
 def named_graphs(facts: DataFrame) -> DataFrame:
     """Five quads a fact, in a graph named by a digest of the fact."""
-    g = _cat(f"<{TKG}population", F.md5(F.concat_ws("|", "head", "rel", "tail", "rStart", "tStart")), ">")
+    # a column of its own: in the lines it would be worked out for each of them
+    facts, g = facts.withColumn("_g", _cat(f"<{TKG}population", F.md5(F.concat_ws("|", "head", "rel", "tail", "rStart", "tStart")), ">")), F.col("_g")
     lit = lambda name, value, kind: _cat(g, f" <{TKG}{name}> \"", value, f'"^^<{XSD}{kind}> <{TKG}meta> .')
     return _lines(
         facts,
@@ -60,7 +61,7 @@ def named_graphs(facts: DataFrame) -> DataFrame:
 
 def reification(facts: DataFrame) -> DataFrame:
     """Eight triples a fact about a blank node named by a digest of the fact."""
-    b = _cat("_:b", F.md5(F.concat_ws("|", "head", "rel", "tail", "rStart", "tStart")))
+    facts, b = facts.withColumn("_b", _cat("_:b", F.md5(F.concat_ws("|", "head", "rel", "tail", "rStart", "tStart")))), F.col("_b")
     rdf = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
     lit = lambda name, value, kind: _cat(b, f" <{TKG}{name}> \"", value, f'"^^<{XSD}{kind}> .')
     return _lines(
